@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pareto_mix, sharding
+from . import decontam, minhash_join, pareto_mix, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +23,16 @@ def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=8, least_items=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op7_pareto_mix, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
 
 
 _OP7 = r"""
