@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, minhash_join, pareto_mix, sharding
+from . import decontam, html_density, minhash_join, pareto_mix, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,7 +36,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
 
 
 _OP7 = r"""
