@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_density, minhash_join, pareto_mix, sharding
+from . import decontam, html_density, huffman_ids, minhash_join, pareto_mix, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_huffman_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return huffman_ids.encode(_read(spark, sf_dir, "documents"), tokenizer, end_id=1)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,7 +44,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
 
 
 _OP7 = r"""
