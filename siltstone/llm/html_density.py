@@ -16,6 +16,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 # Fixed values of HTML: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -236,7 +237,7 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", chars
     """df without html, with the main text and its length in code points. A row for each row; columns named like the outputs are replaced."""
     keep = [c for c in df.columns if c.lower() not in (html_col.lower(), text_col.lower(), chars_col.lower())]
     src = df.select(*keep, html_col)
-    schema = src.select(*keep).schema.add(text_col, "string").add(chars_col, "long")
+    schema = StructType([f for f in src.schema.fields if f.name != html_col]).add(text_col, "string").add(chars_col, "long")
 
     def run(batches):
         for b in batches:

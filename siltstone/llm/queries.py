@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_density, huffman_ids, minhash_join, pareto_mix, sharding
+from . import cotrain, decontam, html_density, huffman_ids, line_dedup, minhash_join, pareto_mix, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return huffman_ids.encode(_read(spark, sf_dir, "documents"), tokenizer, end_id=1)
 
 
+def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_units(_read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"), gone.alias("n_removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,8 +49,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=8, least_items=2)
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "quality_score", "toxic_score", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op7_pareto_mix, op8_minhash_join, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op5_line_hashing, op7_pareto_mix, op8_minhash_join, op9_decontaminate, op10_cotraining)}
 
 
 _OP7 = r"""
@@ -80,5 +90,15 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP5 = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents),
+n AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(line), '[ \t\r\f\v]+', ' ', 'g')) AS norm FROM l),
+r AS (SELECT *, length(norm) >= 50 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM n),
+a AS (SELECT doc_id, count(*) AS n_units, CAST(count_if(gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(CASE WHEN gone THEN length(line) END), 0) AS BIGINT) AS n_removed_chars,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, n_units, n_removed, n_removed_chars, sha256(kept) AS kept_sha256 FROM a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": _OP7, "op9_decontaminate": _OP9}
+    return {"op5_line_hashing": _OP5, "op7_pareto_mix": _OP7, "op9_decontaminate": _OP9}
