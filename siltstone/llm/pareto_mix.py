@@ -47,7 +47,7 @@ def source_targets(sized: DataFrame, source_col: str = "source", weights: tuple[
     return src.select("s", "source_size", F.least("cap", F.coalesce(F.col("free") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", odds_col: str | None = None) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", odds_col: str | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """df with size, source_size, target and taken (words, repeats counted: 0, 1 or 2 times size).
 
     u depends on the id and the seed alone, so reruns and any partitioning
@@ -55,11 +55,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     null text has size 0 and is never taken; null sources form one source, the
     last; rows with equal ids have equal ranks and are taken or left together;
     an empty table gives no rows. Columns of df with the names of the outputs
-    are replaced."""
+    are replaced; `keep` names the columns to return (default: all)."""
     spark, tmp = df.sparkSession, Scratch(df.sparkSession, "mix")
     base = df.drop("size", "source_size", "target", "taken")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    docs = tmp.table(base.withColumns({"size": words_in(F.col(text_col)), "__u": u}), "sized")
+    names = base.columns if keep is None else list(keep)
+    work = list(dict.fromkeys([*names, id_col, source_col, *([odds_col] if odds_col else [])]))
+    docs = tmp.table(base.withColumns({"size": words_in(F.col(text_col)), "__u": u}).select(*work, "size", "__u"), "sized")
     src = tmp.table(source_targets(docs, source_col, weights, share, most), "sources")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     src = src.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
@@ -86,7 +88,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     by_id = F.col(id_col).isNull() | F.coalesce(F.col(id_col) <= F.col("last.i"), F.lit(False))
     inside = (F.col("__bin") < F.col("cbin")) | ((F.col("__bin") == F.col("cbin")) & F.coalesce((F.col("__q") < F.col("last.q")) | ((F.col("__q") == F.col("last.q")) & by_id), F.lit(False)))
     taken = F.col("size") * (F.coalesce(F.col("whole"), F.lit(0)) + F.when(F.col("p") > 0, F.coalesce(inside, F.lit(True)).cast("long")).otherwise(0))
-    return out.withColumn("taken", taken.cast("long")).select(*base.columns, "size", "source_size", "target", "taken")
+    return out.withColumn("taken", taken.cast("long")).select(*names, "size", "source_size", "target", "taken")
 
 
 def copies(mixed: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, html_density, huffman_ids, line_dedup, minhash_join, pareto_mix, sharding
+from . import cotrain, decontam, html_density, huffman_ids, line_dedup, minhash_join, pareto_mix, sharding, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    out = sharding.shard(docs.select("doc_id", "text"), 8)
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = docs.select("doc_id", "text", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.shard(docs, 8, keep=("doc_id", "size", "text_crc32"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_huffman_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return huffman_ids.encode(_read(spark, sf_dir, "documents"), tokenizer, end_id=1)
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=50)
+
+
 def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_units(_read(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -38,7 +43,7 @@ def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pareto_mix.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return pareto_mix.mix(_read(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op5_line_hashing, op7_pareto_mix, op8_minhash_join, op9_decontaminate, op10_cotraining)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op4_suffix_arrays, op5_line_hashing, op7_pareto_mix, op8_minhash_join, op9_decontaminate, op10_cotraining)}
 
 
 _OP7 = r"""

@@ -57,7 +57,7 @@ def _quantiles(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[i
     return sorted({sample[i][:2] for i in at if i < len(sample)})
 
 
-def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", slot_col: str = "slot", overfull: float = 1.5, rounds: int = 4, ranges: int | None = None) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", slot_col: str = "slot", overfull: float = 1.5, rounds: int = 4, ranges: int | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
     """df with `shard` (int, 0 to n_shards - 1) and `slot` (long, gapless from 0 in each shard).
 
     Records are ordered by (hash of the text, id), so equal texts are
@@ -67,7 +67,8 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     and a null id sorts first; repeated rows keep slots of their own. A group
     of equal texts may straddle a boundary, which is what keeps a group with a
     third of all rows from overfilling a shard. An empty table gives no rows.
-    Columns of df named like the two outputs are replaced; others are kept.
+    Columns of df named like the two outputs are replaced; others (or those in
+    `keep`, so that texts need not travel) are kept.
 
     Driver memory: samples and range totals, at most MOST_RANGES *
     SAMPLES_PER_RANGE keys."""
@@ -75,6 +76,9 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     base = df.drop(shard_col, slot_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = base.withColumns({"__k": F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), "__d": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__size": F.octet_length(text).cast("long") + 1})
+    if keep is not None:
+        keyed = keyed.select(*keep, "__k", "__d", "__size")
+        base = base.select(*keep)
     narrow = tmp.table(keyed.select("__k", "__d", "__size"), "narrow")
     total, count = narrow.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
     if not count:
