@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, html_density, huffman_ids, line_dedup, minhash_join, pareto_mix, sharding, suffix_dedup
+from . import cotrain, cover_tree, decontam, html_density, huffman_ids, line_dedup, minhash_join, pareto_mix, sharding, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"), gone.alias("n_removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(_read(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +64,7 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op4_suffix_arrays, op5_line_hashing, op7_pareto_mix, op8_minhash_join, op9_decontaminate, op10_cotraining)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_text_density, op3_huffman_ids, op4_suffix_arrays, op5_line_hashing, op6_cover_trees, op7_pareto_mix, op8_minhash_join, op9_decontaminate, op10_cotraining)}
 
 
 _OP7 = r"""
@@ -105,5 +110,14 @@ SELECT doc_id, n_units, n_removed, n_removed_chars, sha256(kept) AS kept_sha256
 """
 
 
+_OP6 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_hashing": _OP5, "op7_pareto_mix": _OP7, "op9_decontaminate": _OP9}
+    return {"op5_line_hashing": _OP5, "op6_cover_trees": _OP6, "op7_pareto_mix": _OP7, "op9_decontaminate": _OP9}
