@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, which it keeps until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the smallest node reachable.
 

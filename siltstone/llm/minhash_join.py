@@ -2,18 +2,19 @@
 
 1. Each text's set of word shingles gets a MinHash signature of K coordinates;
    documents of equal sets are one class from then on, so copies never expand.
-2. Classes are posted under (coordinate, value). Two sets that agree in at
-   least T of the K coordinates agree in one of any K - T + 1, so only that
-   prefix of coordinates is posted.
-3. Each posting list links its members to its first (a star, linear in the
-   list). Pairs with T or more collisions are confirmed on the full sets, and
-   what is linked so far becomes components.
-4. Merging skips every list whose members are of one component: no pair in it
-   can change the result. In the other lists all pairs across components count
-   collisions; those that reach T are confirmed. A list with too many such
-   pairs for one task is posted again under a second coordinate out of the
-   last K - T + 1 (the same argument holds among the rest), and one that is
-   still too long is compared in blocks, each pair of blocks a row of work.
+2. Coordinate-value pairs are ordered by how many classes have them, rarest
+   first, over the whole corpus. Two sets that agree in at least T of the K
+   coordinates share a pair among the first K - T + 1 of either, so a class is
+   posted under that prefix only; what many unrelated documents have in common
+   (a licence line) stands last in the order and is hardly ever posted.
+3. Posting lists of one class, and lists with the members of another list, are
+   dropped. Each other list is merged once: its first member counts collisions
+   with all, members already connected are skipped, and only what is not yet
+   in the largest component goes on to count. Pairs of T collisions or more
+   are confirmed on the full sets; a list yields links that span what it
+   connects, at most one a member, and never its pairs.
+4. A list too long for one task is merged in blocks that share its first
+   members; if it is still in several pieces, its stragglers meet every block.
 
 No link is lost to a cap: T lies five standard deviations below the agreement
 expected at the threshold, and links are decided on the sets (48-bit shingle
@@ -27,16 +28,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, freed
 
-K = 64
-#: Pairs across components that one list may compare in one task.
-MOST_PAIRS = 100_000
-BLOCK = 256
+K = 40
+#: Classes and shingles of a list that one task merges; a longer list is dealt in blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 4_000_000
+#: First members of a long list that every block of it has.
+LEADERS = 8
 
 _A = (tk.mix(np.arange(1, K + 1, dtype="uint64") * np.uint64(0xA0761D6478BD642F)) | np.uint64(1))
 _B = tk.mix(np.arange(1, K + 1, dtype="uint64") * np.uint64(0xE7037ED1A0B428DB))
@@ -87,98 +89,105 @@ def _sketch(words: int):
     return run
 
 
-def _post(coords: list[int], again: bool = False):
-    """cls, sig[, key] -> key, cls: one row for each coordinate; with `again` the new key also holds the old one."""
-
-    def run(batches):
-        idx = np.array(coords)
-        salt = tk.mix((idx + 1).astype("uint64") * np.uint64(0x8EBC6AF09C88C6E3))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "uint32").reshape(-1, K)[:, idx]
+def _pairs(batches):
+    """cls, sig -> key, cls: a row for each coordinate-value pair."""
+    salt = tk.mix(np.arange(1, K + 1, dtype="uint64") * np.uint64(0x8EBC6AF09C88C6E3))
+    for b in batches:
+        if b.num_rows:
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "uint32").reshape(-1, K)
             key = tk.mix(sig.astype("uint64") ^ salt)
-            if again:
-                key = tk.mix(key + b.column(2).to_numpy(zero_copy_only=False).view("uint64")[:, None] * np.uint64(0x9E3779B97F4A7C15))
-            at = np.repeat(np.arange(b.num_rows), len(idx))
+            at = np.repeat(np.arange(b.num_rows), K)
             yield pa.RecordBatch.from_arrays([pa.array(key.view("int64").ravel()), b.column(0).take(pa.array(at))], names=["key", "cls"])
 
-    return run
-
-
-def _agree(t: int):
-    """a, b, siga, sigb -> a, b of pairs with at least t collisions."""
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "uint32").reshape(-1, K) for i in (2, 3))
-            keep = pa.array((x == y).sum(1) >= t)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    return run
-
 
-def _list_pairs(t: int):
-    """Rows (key, comp, cls, sig) sorted by key -> pairs a, b across components with at least t collisions."""
-
-    def compare(comp, cls, sig):
+class _Union:
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, x: int, others: np.ndarray) -> list[int]:
+        """Connects x with others; returns one other of each component that this adds."""
+        added = []
+        for y in others:
+            if self.of[y] != self.of[x]:
+                added.append(int(y))
+                self.of[self.of == self.of[y]] = self.of[x]
+        return added
+
+
+def merge_list(sigs: np.ndarray, sets: list[np.ndarray], t: int, percent: int, stragglers: np.ndarray | None = None, of: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what a list's links connect. stragglers: only pairs with one of these rows; of: components so far."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    row = np.repeat(np.arange(n), size)[order]
+    cut = np.concatenate([[True], values[order][1:] != values[order][:-1]])
+    start = np.flatnonzero(cut)
+    length = np.diff(np.append(start, len(values)))
+    group = np.empty(len(values), "int64")
+    group[order] = np.cumsum(cut) - 1
+    first = np.concatenate([[0], np.cumsum(size)])
+    union = _Union(n)
+    if of is not None:
+        union.of = np.unique(of, return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+
+    def meet(x: int) -> None:
+        able = np.flatnonzero(((sigs == sigs[x]).sum(1) >= t) & (union.of != union.of[x]))
+        if not len(able):
+            return
+        g = group[first[x] : first[x + 1]]
+        many = length[g]
+        at = np.repeat(start[g] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(row[at], minlength=n)[able]
+        linked = able[100 * common >= percent * (size[x] + size[able] - common)]
+        links.extend((x, y) for y in union.join(x, linked))
+
+    if stragglers is None:
+        meet(0)
+        largest = np.bincount(union.of).argmax()
+        stragglers = np.flatnonzero(union.of != largest)
+    for x in stragglers:
+        meet(int(x))
+    return links
+
+
+def _merge(t: int, percent: int, with_comps: bool = False):
+    """Rows (key, cls, sig, set[, comp, straggler]) sorted by key -> links (a, b)."""
+
+    def solve(rows: pa.Table):
+        key = rows.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        cls, packed = rows.column(1).to_pylist(), rows.column(3).to_pylist()
+        sigs = np.frombuffer(b"".join(rows.column(2).to_pylist()), "uint32").reshape(-1, K)
         a, b = [], []
-        for i in range(len(cls) - 1):
-            hit = np.flatnonzero(((sig[i + 1 :] == sig[i]).sum(1) >= t) & (comp[i + 1 :] != comp[i])) + i + 1
-            a += [min(cls[i], cls[j]) for j in hit]
-            b += [max(cls[i], cls[j]) for j in hit]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo < 2:
+                continue
+            more = {}
+            if with_comps:
+                more = {"of": np.array(rows.column(4).slice(lo, hi - lo).to_pylist(), object).astype(bytes), "stragglers": np.flatnonzero(rows.column(5).slice(lo, hi - lo).to_numpy())}
+            for x, y in merge_list(sigs[lo:hi], [tk.unpack48(p) for p in packed[lo:hi]], t, percent, **more):
+                a.append(cls[lo + x])
+                b.append(cls[lo + y])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def flush(rest):
-            t_ = pa.Table.from_batches(rest)
-            key = t_.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            comp, cls = (t_.column(i).to_pylist() for i in (1, 2))
-            sig = np.frombuffer(b"".join(t_.column(3).to_pylist()), "uint32").reshape(-1, K)
-            names = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-            comp = np.array([names[c] for c in comp])
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo > 1:
-                    yield compare(comp[lo:hi], cls[lo:hi], sig[lo:hi])
-
         for b in batches:
             if not b.num_rows:
                 continue
             key = b.column(0).to_numpy()
             last = int(np.searchsorted(key, key[-1]))  # the last list may go on
+            if held and held[-1].column(0)[0].as_py() != key[0]:
+                yield solve(pa.Table.from_batches(held))
+                held = []
             if last:
-                yield from flush([*held, b.slice(0, last)])
-                held = [b.slice(last)]
-            elif held and held[0].column(0)[0].as_py() != key[0]:
-                yield from flush(held)
-                held = [b]
-            else:
-                held.append(b)
+                yield solve(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
         if held:
-            yield from flush(held)
-
-    return run
-
-
-def _confirm(percent: int):
-    """a, b, sa, sb (packed sets) -> pairs whose full sets reach the similarity."""
-
-    def run(batches):
-        for b in batches:
-            a, c, x, y = (col.to_pylist() for col in b.columns[:4])
-            keep = []
-            for p, q in zip(x, y):
-                both = np.concatenate([tk.unpack48(p), tk.unpack48(q)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()).filter(mask), pa.array(c, pa.binary()).filter(mask)], names=["a", "b"])
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -212,63 +221,53 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     t = least_matches(percent / 100)
     prefix = K - t + 1
     sketch = tmp.table(docs.mapInArrow(_sketch(words), "id long, n long, cls binary, sig binary"), "sketch")
-    classes = tmp.table(sketch.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    sig = classes.select("cls", "sig")
-    posts = tmp.table(sig.mapInArrow(_post(list(range(prefix))), "key long, cls binary"), "posts")
-    # Lists of one class link nothing. The first of a list is its smallest class.
-    lists = posts.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("lead")).where("m > 1").select("key", "lead")
-    multi = tmp.table(posts.join(lists, "key"), "lists")
+    classes = tmp.table(sketch.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    pairs = classes.select("cls", "sig").mapInArrow(_pairs, "key long, cls binary")
+    # How many classes have a pair, where more than one has; a class's other pairs are rarer than all of these and link nothing.
+    often = pairs.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    shared = pairs.join(often, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("ks"))
+    posts = shared.select("cls", F.explode(F.slice("ks", 1, F.greatest(F.size("ks") - F.lit(K - prefix), F.lit(0)))).alias("k")).select("cls", "k.key")
+    posts = tmp.table(posts, "posts")
+    freed(spark)
+    # A list of the same members as another adds nothing: one of each membership stays.
+    members = posts.join(classes.select("cls", "n"), "cls").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "cls")).alias("y"), F.min("cls").alias("low")).where("m > 1")
+    lists = members.groupBy("m", "x", "y", "low").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("long")
+    lists = tmp.table(posts.join(lists.select("key", blocks.alias("blocks")), "key"), "lists")
     tmp.drop("posts")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among candidate pairs (a, b)."""
-        pairs = tmp.table(pairs, f"{name}_pairs")
-        members = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        # A class is read from the document that names it; the sketch tells apart texts that share an id.
-        owners = sketch.join(members, "cls", "left_semi").join(classes.select("cls", F.col("id").alias("rep")), "cls").where(F.col("id").eqNullSafe(F.col("rep"))).select("cls", "id").distinct()
-        texts = docs.withColumnRenamed("id", "doc").join(owners, F.col("doc").eqNullSafe(F.col("id"))).select("text", "cls")
-        sets = texts.mapInArrow(_own_set(words), "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
-        sets = tmp.table(sets, f"{name}_sets")
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-        out = tmp.table(both.mapInArrow(_confirm(percent), "a binary, b binary"), f"{name}_links")
-        tmp.drop(f"{name}_pairs", f"{name}_sets")
-        return out
-
-    with_sigs = lambda p: p.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("siga")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sigb")), "b").select("a", "b", "siga", "sigb")
-    stars = multi.where("cls != lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    links = confirmed(with_sigs(stars).mapInArrow(_agree(t), "a binary, b binary"), "star")
-    comps = tmp.table(connected_components(links, tmp, "cc1"), "comps1")
-
-    # Second look: only lists that still hold several components, only pairs across them.
-    found, level = None, 0
-    open_lists = multi.select("key", "cls")
-    while True:
-        level += 1
-        owned = open_lists.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-        owned = tmp.table(owned, f"owned{level}")
-        per = owned.groupBy("key", "comp").agg(F.count("*").cast("double").alias("c"))
-        mixed = per.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("comps")).where("comps > 1").withColumn("cross", (F.col("m") * F.col("m") - F.col("s")) / 2)
-        mixed = tmp.table(mixed.select("key", "cross"), f"mixed{level}")
-        rows = owned.join(mixed.where(F.col("cross") <= MOST_PAIRS), "key", "left_semi").join(sig, "cls").select("key", "comp", "cls", "sig")
-        pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_list_pairs(t), "a binary, b binary")
-        found = tmp.table(pairs.distinct(), f"found{level}") if found is None else found.union(tmp.table(pairs.distinct(), f"found{level}"))
-        long_lists = mixed.where(F.col("cross") > MOST_PAIRS)
-        if not long_lists.limit(1).count():
-            break
-        rest = owned.join(long_lists, "key", "left_semi").join(sig, "cls")
-        if level == 1:
-            open_lists = tmp.table(rest.select("cls", "sig", "key").mapInArrow(_post(list(range(K - prefix, K)), True), "key long, cls binary").distinct(), "posts2")
-            open_lists = open_lists.join(open_lists.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key", "left_semi")
-            continue
-        # Blocks of a list: a row of work for each pair of blocks, however long the list.
-        place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("long")
-        sized = rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "key").withColumn("mine", place)
-        duty = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "comp", "cls", "sig")
-        found = found.union(tmp.table(duty.repartition("key").sortWithinPartitions("key").mapInArrow(_list_pairs(t), "a binary, b binary").distinct(), "found_blocks"))
-        break
-    more = confirmed(found.distinct(), "cross")
-    every = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)
-    comps = tmp.table(connected_components(every, tmp, "cc2"), "comps2")
+    # The full sets of what is in a list, from the document that names the class; the digest tells apart texts that share an id.
+    owners = lists.select("cls").distinct().join(classes.select("cls", F.col("id").alias("rep")), "cls")
+    texts = docs.join(owners, F.col("id").eqNullSafe(F.col("rep"))).select("text", "cls")
+    sets = texts.mapInArrow(_own_set(words), "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+    sets = tmp.table(sets.join(classes.select("cls", "sig"), "cls"), "sets", "none")
+    freed(spark)
+    place = F.pmod(F.xxhash64(F.lit(3), "cls"), F.col("blocks"))
+    rows = lists.withColumn("block", place)
+    long = tmp.table(lists.where("blocks > 1").select("key", "cls", "blocks"), "long")
+    has_long = bool(long.limit(1).count())
+    if has_long:
+        heads = long.groupBy("key", "blocks").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(F.lit(5), "cls"), F.greatest(F.lit(1), F.col("blocks") * 256)) == 0, F.col("cls")))), 1, LEADERS).alias("heads"))
+        heads = heads.select("key", "blocks", F.explode("heads").alias("cls"))
+        rows = rows.unionByName(heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))).dropDuplicates(["key", "cls", "block"])
+    work = rows.withColumn("task", F.when(F.col("blocks") > 1, F.xxhash64("key", "block")).otherwise(F.col("key"))).select("task", "cls").join(sets, "cls").select("task", "cls", "sig", "set")
+    found = work.repartition("task").sortWithinPartitions("task", "cls").mapInArrow(_merge(t, percent), "a binary, b binary")
+    comps = tmp.table(connected_components(tmp.table(found.distinct(), "links"), tmp, "cc1"), "comps1")
+    freed(spark)
+    if has_long:
+        # Long lists once more: whoever is outside a list's largest component meets every block of it.
+        owned = long.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        top = owned.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", "top")
+        owned = tmp.table(owned.join(top, "key").withColumns({"block": place, "out": F.col("comp") != F.col("top")}), "stragglers")
+        deal = F.ceil(F.count("*") / BLOCK_CLASSES)
+        teams = owned.where("out").groupBy("key").agg(deal.cast("long").alias("teams"))
+        out = owned.where("out").join(teams, "key").withColumn("team", F.pmod(F.xxhash64(F.lit(9), "cls"), F.col("teams"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        block = owned.join(teams, "key").withColumn("team", F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") - 1)))
+        cols = ["key", "block", "team", "cls", "comp"]
+        both = out.select(*cols, F.lit(1).alias("s")).unionByName(block.select(*cols, F.lit(0).alias("s"))).groupBy(*cols).agg(F.max("s").alias("s"))
+        work = both.select(F.xxhash64("key", "block", "team").alias("task"), "cls", "comp", (F.col("s") == 1).alias("straggler")).join(sets, "cls").select("task", "cls", "sig", "set", "comp", "straggler")
+        more = work.repartition("task").sortWithinPartitions("task", "cls").mapInArrow(_merge(t, percent, True), "a binary, b binary").distinct()
+        every = comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)
+        comps = tmp.table(connected_components(tmp.table(every, "links2"), tmp, "cc2"), "comps2")
     named = classes.select("cls", "id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("id").alias("low"))
     label = tmp.table(named.join(lowest, "comp").select("cls", "low"), "labels")

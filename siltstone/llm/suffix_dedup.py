@@ -21,7 +21,6 @@ the corpus quotes) is dealt by window instead: equal windows still meet.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Scratch
+from .common import Scratch, freed
 
 GRAM = 16
 #: Bytes that one suffix array holds, unless one gram has more.
@@ -384,24 +383,19 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         raise ValueError("length must be 24 to 78")
     spark, tmp = df.sparkSession, Scratch(df.sparkSession, "suffix")
 
-    def freed() -> None:
-        """Lets Spark drop the shuffle files of finished steps."""
-        gc.collect()
-        spark._jvm.System.gc()
-
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.where("id IS NOT NULL AND text IS NOT NULL")
     posts = known.mapInArrow(_post(length), "h long, seg long, doc long, place long")
     shared = posts.repartition("h").sortWithinPartitions("h", "seg", "doc").mapInArrow(_shared(), "h long, doc long, place long, later boolean")
     shared = tmp.table(shared, "shared")
-    freed()
+    freed(spark)
     asked = shared.where(~F.col("later"))
     hot = tmp.table(asked.groupBy("h").count().where(F.col("count") > MANY).select("h", F.lit(True).alias("hot")), "hot")
     asked = asked.join(hot, "h", "left") if hot.limit(1).count() else asked.withColumn("hot", F.lit(False))
     asks = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
     pieces = known.join(asks, known["id"] == asks["doc"]).select("doc", "text", "asks").mapInArrow(_segments(length), "key long, doc long, place long, piece binary")
     found = tmp.table(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc long, place long"), "found")
-    freed()
+    freed(spark)
     places = shared.where("later").select("doc", "place").unionByName(found).groupBy("doc").agg(F.collect_list("place").alias("places"))
     joined = docs.join(places, docs["id"] == places["doc"], "left").select("id", "text", "places")
     if with_spans:
