@@ -24,7 +24,7 @@ from . import textkit as tk
 from .common import Scratch
 
 #: Labelled documents to fit on, and documents of the pool for pseudo-labels (expected numbers; a hash of the id draws them).
-MOST_LABELLED, MOST_POOL = 20_000, 10_000
+MOST_LABELLED, MOST_POOL = 16_000, 6_000
 WORD_IDS = 1 << 20
 #: Quantiles at which numbers of the metadata view are cut; close at both ends, where junk lies.
 CUTS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
@@ -105,15 +105,22 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, width: int, select: bool, steps: int = 150, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic weights over feature ids, the bias last. With `select`, only ids whose share of y is off by chance's four deviations get a weight."""
+def telling(x: Sparse, rows: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Whether an id's share of y among the rows is off by four deviations of chance. Works in runs of rows, so it needs little memory."""
+    p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    seen, hit = np.zeros(width), np.zeros(width)
+    for lo in range(0, len(rows), 1000):
+        part = x.take(rows[lo : lo + 1000])
+        seen += np.bincount(part.ids, minlength=width)
+        hit += np.bincount(part.ids, weights=y[lo : lo + 1000][part.row], minlength=width)
+    return (seen >= 3) & (np.abs(hit - seen * p) >= 4 * np.sqrt(np.maximum(seen * p * (1 - p), 1e-9)))
+
+
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 150, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic weights over feature ids, the bias last."""
     row, n = x.row, max(weight.sum(), 1e-9)
     p = float(np.clip((weight * y).sum() / n, 1e-3, 1 - 1e-3))
-    seen = np.bincount(x.ids, weights=weight[row], minlength=width)
-    hit = np.bincount(x.ids, weights=(weight * y)[row], minlength=width)
-    live = seen > 0
-    if select:
-        live = (seen >= 3) & (np.abs(hit - seen * p) >= 4 * np.sqrt(np.maximum(seen * p * (1 - p), 1e-9)))
+    live = np.bincount(x.ids, minlength=width) > 0
     use = np.flatnonzero(live)
     to = np.full(width, -1)
     to[use] = np.arange(len(use))
@@ -179,9 +186,18 @@ def cotrain(words: Sparse, numbers: np.ndarray, named: np.ndarray, labels: dict[
     model = Model(edges, {})
     meta = model.meta(numbers, named)
     flat = Sparse(meta.ravel(), np.arange(0, meta.size + 1, meta.shape[1]))
+    usable = {t: np.flatnonzero(y >= 0) for t, y in labels.items()}
+    fold = {t: np.random.default_rng(seed).random(len(k)) < 0.2 for t, k in usable.items()}
+    # Words that tell nothing about either label go before anything else is done with them.
+    live = np.zeros(WORD_IDS, bool)
+    for t, known in usable.items():
+        rows = known[~fold[t]]
+        if len(rows):
+            live |= telling(words, rows, labels[t][rows].astype(float), WORD_IDS)
+    kept = np.flatnonzero(live[words.ids])
+    words = Sparse(words.ids[kept].astype("int64"), np.searchsorted(kept, words.first))
     for target, y in labels.items():
-        known = np.flatnonzero(y >= 0)
-        held = known[np.random.default_rng(seed).random(len(known)) < 0.2]
+        known, held = usable[target], usable[target][fold[target]]
         train = np.setdiff1d(known, held)
         if len(held) < 10 or len(np.unique(y[train])) < 2:
             # Too little to learn from: the share of the label is all there is to say.
@@ -193,12 +209,12 @@ def cotrain(words: Sparse, numbers: np.ndarray, named: np.ndarray, labels: dict[
         given = {"a": {}, "b": {}}
         for turn in range(rounds + 1):
             fitted = {}
-            for view, x, width, select in (("a", words, WORD_IDS, True), ("b", flat, META_IDS, False)):
+            for view, x, width in (("a", words, WORD_IDS), ("b", flat, META_IDS)):
                 extra = np.array(sorted(given[view]), "int64")
                 rows = np.concatenate([train, extra])
                 target_y = np.concatenate([y[train], [given[view][r] for r in extra]]).astype(float)
                 weight = np.concatenate([np.ones(len(train)), np.full(len(extra), pool_weight)])
-                w = fit(x.take(rows), target_y, weight, width, select)
+                w = fit(x.take(rows), target_y, weight, width)
                 z = x.sums(w[:-1]) + w[-1]
                 fitted[view] = (w, z, platt(z[held, None], y[held]))
             if turn == rounds or not len(pool):
@@ -240,11 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_label
     schema = "id long, words binary, meta array<double>"
     found = tmp.table(known.unionByName(pool).mapInArrow(_featurise, schema).dropDuplicates(["id"]), "features").join(F.broadcast(marked), "id", "left")
     got = found.orderBy("id").toArrow()
-    words = [np.frombuffer(x, "<i4") for x in got.column("words").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype("int64")
+    packed = got.column("words").combine_chunks().cast(pa.large_binary())
+    edges = np.frombuffer(packed.buffers()[1], "int64")[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, "int64")
+    x = Sparse(np.frombuffer(packed.buffers()[2], "<i4")[edges[0] // 4 : edges[-1] // 4] if edges[-1] > edges[0] else np.zeros(0, "<i4"), (edges - edges[0]) // 4)
     meta = np.array(got.column("meta").to_pylist(), float).reshape(-1, len(NUMBERS) + 2)
     value = lambda c: np.array([-1 if x is None else int(x) for x in got.column(c).to_pylist()], "int64")
-    x = Sparse(np.concatenate(words).astype("int64") if words else np.zeros(0, "int64"), first)
     return cotrain(x, meta[:, : len(NUMBERS)], meta[:, len(NUMBERS) :].astype("int64"), {"quality": value("quality"), "toxic": value("toxic")}, **how)
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import Scratch
 
 MAX_BITS = 16
@@ -164,19 +165,39 @@ class Segment:
 # ---------------------------------------------------------------- tokens
 
 
-#: White space of Unicode beyond what both str.split and the tokenizer's \\s agree on; a text with any goes to the tokenizer whole.
-ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
-#: Words (and pieces) that a worker remembers.
-REMEMBERED = 600_000
+#: Units of text that a worker remembers (about 20 bytes each).
+REMEMBERED = 4_000_000
+#: 0: white space, 1: letters (ASCII, and the bytes of U+00C0 to U+00FF), 2: ASCII marks, 3: anything else.
+UNIT_KIND = np.full(256, 3, "int8")
+UNIT_KIND[[32, *range(9, 14)]] = 0
+UNIT_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+UNIT_KIND[[x for x in range(33, 127) if not chr(x).isalnum() and x != 39]] = 2
+#: Bytes of text that are encoded together.
+TOGETHER = 8 << 20
+
+
+def _needs_whole(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows with white space that tokenizers and byte classes may see differently, or with what may begin a special token."""
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    odd = ((data >= 0x1C) & (data <= 0x1F))
+    two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)) | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    lead = np.flatnonzero((a >= 0xE1) & (a <= 0xE3))
+    x, y, z = a[lead], b[lead], c[lead]
+    three = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE2) & (y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (x == 0xE2) & (y == 0x81) & (z == 0x9F) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    at = np.concatenate([np.flatnonzero(odd), np.flatnonzero(two), lead[three]])
+    out = np.zeros(len(off) - 1, bool)
+    out[np.searchsorted(off, at, "right") - 1] = True
+    return out
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each distinct word once.
 
     For tokenizers whose pre-tokenizer drops white space no token spans two
-    words, so a text's ids are its words' ids in a row. Which words of plain
-    Latin letters split how is found by the tokenizer's own pattern, piece by
-    piece through its model; any other word goes through the whole tokenizer."""
+    words, so a text's ids are its words' ids in a row. How a word of plain
+    Latin letters splits is found by the tokenizer's own pattern and its model;
+    any other word goes through the whole tokenizer, and so does any text with
+    unusual white space. Words are known by a 64-bit hash."""
 
     def __init__(self, path: str):
         import regex
@@ -184,66 +205,100 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
-        split = spec["pre_tokenizer"]["pretokenizers"][0] if spec.get("pre_tokenizer", {}).get("type") == "Sequence" else {}
-        self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "")
+        pre = spec.get("pre_tokenizer") or {}
+        split = pre["pretokenizers"][0] if pre.get("type") == "Sequence" else {}
+        self.by_word = split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and "\\s" in split["pattern"].get("Regex", "") and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
         self.pattern = regex.compile(split["pattern"]["Regex"]) if self.by_word else None
-        self.model, self.bytelevel = self.whole.model, self.whole.pre_tokenizer
-        self.odd = regex.compile(f"[{ODD_SPACE}]")
+        self.model = self.whole.model
         self.plain = regex.compile("[!-~À-ÖØ-öø-ÿ]*")
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces: dict[str, bytes] = {}
-        self.words = _Memory(self._word)
+        self.folds = "Lowercase" in json.dumps(spec.get("normalizer") or {})
         width = max(self.whole.get_vocab().values()) if self.whole.get_vocab_size() else 0
         self.dtype = np.dtype("<u2" if width < 1 << 16 else "<u4")
-        to = {}
-        extra = 0
-        for b in range(256):  # the usual map of bytes to printable characters
-            if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-                to[b] = chr(b)
-            else:
-                to[b] = chr(256 + extra)
-                extra += 1
-        self.to = to
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not self.plain.fullmatch(word):
-            return self._library(word)
-        low = word.lower()
-        out = []
-        for piece in self.pattern.findall(low):
-            got = self.pieces.get(piece)
-            if got is None:
-                mapped = piece if piece.isascii() else "".join(self.to[b] for b in piece.encode())
-                got = np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian integers of self.dtype."""
-        if not text:
-            return b""
-        if not self.by_word or self.odd.search(text) or any(s in text for s in self.special):
-            return self._library(text)
-        out = b"".join(map(self.words.__getitem__, text.split()))
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        self._forget()
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+    def library(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def word(self, word: str) -> list[int]:
+        if not word.isascii() and not self.plain.fullmatch(word):
+            return self.library(word)
+        out: list[int] = []
+        for piece in self.pattern.findall(word.lower() if self.folds else word):
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
+            out += [t.id for t in self.model.tokenize(mapped)]
         return out
 
-
-class _Memory(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
+    def _forget(self) -> None:
+        """What is known: hashes in order, and where the ids of each begin in `flat`; about 20 bytes a word."""
+        self.hashes, self.begins, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.flat = np.zeros(0, self.dtype)
+
+    def _learn(self, hashes: np.ndarray, lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), "int64", len(lists))
+        begin = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter((x for k in lists for x in k), self.dtype, int(size.sum()))])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.begins, self.sizes = every[order], np.concatenate([self.begins, begin])[order], np.concatenate([self.sizes, size])[order]
+
+    def _units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans that encode on their own: runs of letters and runs of marks, or a whole word that has anything else in it."""
+        kind = UNIT_KIND[data]
+        # The two signs among the Latin letters of the second block are no letters.
+        sign = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        kind[sign] = 3
+        starts, ends, first = tk.words(data, off)
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(kind == 3), "right") - 1)
+        mark = np.zeros(len(data) + 1, "int8")
+        mark[starts[odd]] += 1
+        mark[ends[odd]] -= 1
+        kind[np.cumsum(mark[:-1]) > 0] = 3
+        turn = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        turn = turn[~np.isin(turn, off, assume_unique=False)] if len(off) > 2 else turn
+        starts, ends = np.sort(np.concatenate([starts, turn])), np.sort(np.concatenate([ends, turn]))
+        return starts, ends, np.searchsorted(starts, off)
+
+    def encode_column(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids of each row, ids) with end_id after each row."""
+        for i, j, data, off in tk.pieces(column, TOGETHER):
+            rows = j - i
+            whole = _needs_whole(data, off) if self.by_word else np.ones(rows, bool)
+            if whole.all():
+                lists = [self.library(data[a:b].tobytes().decode()) for a, b in zip(off[:-1], off[1:])]
+                counts = np.array([len(x) + 1 for x in lists], "int64")
+                yield i, j, counts, np.concatenate([np.array([*x, end_id], self.dtype) for x in lists]) if rows else np.zeros(0, self.dtype)
+                continue
+            starts, ends, first = self._units(data, off)
+            distinct, at, where = np.unique(tk.span_hashes(tk.FOLD[data] if self.folds else data, starts, ends), return_index=True, return_inverse=True)
+            if len(self.hashes) > REMEMBERED:
+                self._forget()
+            place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+            new = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
+            raw = data.tobytes()
+            if len(new):
+                self._learn(distinct[new], [self.word(raw[starts[k] : ends[k]].decode()) for k in at[new].tolist()])
+                place = np.searchsorted(self.hashes, distinct)
+            size, begin = self.sizes[place], self.begins[place]
+            flat = self.flat
+            many = size[where]
+            upto = np.cumsum(many)
+            ids = flat[np.repeat(begin[where] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+            edge = np.concatenate([[0], upto])[first]
+            counts = np.diff(edge) + 1
+            out = np.full(len(ids) + rows, end_id, self.dtype)
+            out[np.arange(len(ids)) + np.repeat(np.arange(rows), counts - 1)] = ids
+            if whole.any():
+                parts = np.split(out, np.cumsum(counts)[:-1])
+                for r in np.flatnonzero(whole):
+                    parts[r] = np.array([*self.library(raw[off[r] : off[r + 1]].decode()), end_id], self.dtype)
+                counts, out = np.array([len(x) for x in parts], "int64"), np.concatenate(parts)
+            yield i, j, counts, out
+
+    def encode(self, text: str | None) -> list[int]:
+        return [int(x) for _, _, _, ids in self.encode_column(pa.array([text]), 0) for x in ids[:-1]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -264,13 +319,11 @@ def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
 
     def run(batches):
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            ids = [enc.encode(x) + end for x in b.column(1).to_pylist()]
-            width = enc.dtype.itemsize
-            for i in range(0, len(ids), 512):
-                part = ids[i : i + 512]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), pa.array([len(x) // width for x in part], pa.int64()), pa.array(part, pa.binary())], names=["id", "n", "ids"])
+            for i, j, counts, ids in enc.encode_column(b.column(1), end_id):
+                raw, edge = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)]) * enc.dtype.itemsize
+                parts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(edge.astype("int64").tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts), parts], names=["id", "n", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n long, ids binary")
 
