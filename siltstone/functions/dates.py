@@ -8,6 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Separated dates come before compact ones; years are 20xx; a digit must not touch the match.
 SEPARATED = r"(?<![0-9])(20[0-9]{2})[年./-]([0-9]{1,2})[月./-]([0-9]{1,2})日?(?:[ T]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?(?![0-9])"
@@ -32,7 +33,7 @@ def parse(text: str | None) -> str:
     return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_date(text: pd.Series) -> pd.Series:
     return text.map(parse)
 

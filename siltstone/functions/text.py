@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Labels of persons in signatures.
 LABELS = {"author": ("作者", "文/", "撰文", "撰稿"), "reporter": ("记者", "通讯员"), "editor": ("编辑", "责编", "责任编辑"), "publisher": ("来源", "供稿", "发布单位")}
@@ -81,7 +82,7 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonicalise_json(text: pd.Series) -> pd.Series:
     """Canonical form of JSON text; null for what isn't JSON. to_json drops nulls and keeps field order, so it can't stand in."""
 
@@ -104,7 +105,7 @@ def _clean(value: object) -> object:
     return value if value is None or isinstance(value, (bool, int, float)) else _clean(str(value))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitize_json(text: pd.Series) -> pd.Series:
     """JSON text with every string in it, keys too, sanitised."""
 
@@ -154,7 +155,7 @@ def decode_body(body: bytes | None, header: str | None = None) -> str:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode(body: pd.Series) -> pd.Series:
     return body.map(decode_body)
 
