@@ -65,16 +65,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a != b")
         step += 1
-        mid = scratch.table(large.distinct(), f"{name}_{step}")
+        mid = scratch.table(large, f"{name}_{step}")
         down = mid.groupBy("a").agg(F.min("b").alias("m"))
         small = mid.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
         step += 1
         new = scratch.table(small.select("e.a", "e.b").where("a != b").distinct(), f"{name}_{step}")
         # Done when every node points at one root and no root points anywhere.
-        multi = new.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-        deep = 0 if multi else new.join(new.select(F.col("a").alias("r")), new.b == F.col("r"), "left_semi").limit(1).count()
+        ends = new.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("root")), F.struct(F.col("b").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("root")))).alias("e"))
+        open_ = ends.groupBy("e.n").agg(F.sum("e.out").alias("out"), F.max("e.root").alias("root")).where("out > 1 OR (out > 0 AND root > 0)").limit(1).count()
         scratch.drop(f"{name}_{step - 2}", f"{name}_{step - 1}")
         cur = new
-        if not multi and not deep:
+        if not open_:
             break
     return cur.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
