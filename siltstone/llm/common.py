@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,10 @@ class Scratch:
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, which it keeps until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of, the second frees
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
