@@ -93,7 +93,8 @@ def test_mix_reruns_agree(docs):
 
 def test_mix_odds(docs):
     d = docs([(i, "one two three four", f"s{i % 2}") for i in range(2000)]).withColumn("w", F.when(F.col("doc_id") % 4 < 2, 5.0).otherwise(0.2))
-    out = pareto_mix.mix(d, odds_col="w").where("taken > size").collect() or pareto_mix.mix(d, odds_col="w").where("taken > 0").collect()
+    out = pareto_mix.mix(d, odds_col="w", share=1.2).where("source = 's1' AND taken > 0").collect()
+    assert sum(r["taken"] for r in out) == 2400
     assert sum(r["w"] > 1 for r in out) > 1.3 * sum(r["w"] < 1 for r in out)
 
 
