@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, rules, text
 from ..functions import url as U
 from ..operators import extract
+from ..sources.scratch import shared_folder
 from ..streaming import incremental
 from .model import NOW, load, with_tables
 
@@ -170,7 +169,7 @@ def retext(pages):
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/") + f"/stream-{abs(hash(sf_dir + str(id(spark))))}-{spark.sparkContext.startTime}"
+    base = shared_folder(spark, "stream")
     src = f"{base}/in"
     events.write.mode("overwrite").parquet(src)
     stream = incremental.read_events(spark, src, events)
@@ -187,8 +186,7 @@ def _discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     s = lambda c: c.cast("string")
     edges = n.select(s(F.col("event_id")).alias("source_url"), F.explode(F.array(s(F.col("event_id") * 2 + 1), s(F.col("event_id") * 2 + 2))).alias("target_url")).join(n.select(s(F.col("event_id")).alias("target_url")), "target_url", "left_semi")
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
-    return incremental.discover(edges, n.where("event_id = 0").select(s(F.col("event_id")).alias("url")), 5, base)
+    return incremental.discover(edges, n.where("event_id = 0").select(s(F.col("event_id")).alias("url")), 5, shared_folder(spark, "links"))
 
 
 _Q["link_discovery"] = _discover
