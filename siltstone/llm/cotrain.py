@@ -24,7 +24,7 @@ from . import textkit as tk
 from .common import Scratch
 
 #: Labelled documents to fit on, and documents of the pool for pseudo-labels (expected numbers; a hash of the id draws them).
-MOST_LABELLED, MOST_POOL = 16_000, 6_000
+MOST_LABELLED, MOST_POOL = 12_000, 4_000
 WORD_IDS = 1 << 20
 #: Quantiles at which numbers of the metadata view are cut; close at both ends, where junk lies.
 CUTS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
