@@ -1,6 +1,11 @@
+import hashlib
+import re
+
 import numpy as np
-from conftest import HARD, prose
+from llm_samples import HARD
 from pyspark.sql import functions as F
+from test_sharding_mix import targets
+from test_text_ops import brute_components
 
 import corpus_pipeline
 from siltstone.llm import cotrain, cover_tree, queries
@@ -64,17 +69,65 @@ def test_classifier_hard_rows(docs, spark):
     assert cotrain.score(docs(HARD), labels.limit(0)).count() == len(HARD)
 
 
-def test_pipeline_stages(spark):
+def brute_windows(text, n=8):
+    w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(0, len(w) - n + 1))}, tuple(w)
+
+
+def brute_mix(rows):
+    """Copies of each (doc_id, text, source): whole ones, then the rank prefix nearest to the rest."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + size(t)
+    want, out = targets(total), {}
+    for s in total:
+        ratio = want[s] / total[s]
+        whole, rest = int(ratio), want[s] - int(ratio) * total[s]
+        p = rest / total[s]
+        u = lambda i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        ranked = sorted((u(i) / (1 - u(i)) / (p / (1 - p)) if p > 0 else 0, i, size(t)) for i, t, x in rows if x == s)
+        upto = 0
+        for _, i, n in ranked:
+            upto += n
+            out[i] = whole + (p > 0 and 2 * upto - n <= 2 * rest) if n else 0
+    return out
+
+
+def brute_shards(rows, n=8):
+    order = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), i, len((t or "").encode()) + 1) for i, t in rows)
+    total, before, out, slots = sum(o[2] for o in order), 0, [], {}
+    for _, i, b in order:
+        s = min(n - 1, before * n // total)
+        out.append((i, s, slots.get(s, 0)))
+        slots[s] = slots.get(s, 0) + 1
+        before += b
+    return sorted(out)
+
+
+def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+    names, got = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == names
-        if k < 3:
-            assert 0 < out.count() <= docs.count()
-        docs = spark.createDataFrame(out.collect(), out.schema)
-    assert {"shard", "slot"} < set(docs.columns)
+        rows = out.collect()
+        assert out.columns == names or stage is corpus_pipeline.shard
+        got.append(rows)
+        docs = spark.createDataFrame(rows, out.schema)
+    quality, near, clean, mixed, sharded = got
+    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    left = {r["doc_id"] for r in quality}
+    assert sum(i in left for i, r in labels.items() if r["quality"] and not r["toxic"]) >= 0.9 * sum(bool(r["quality"] and not r["toxic"]) for r in labels.values())
+    comp = brute_components([(r["doc_id"], r["text"]) for r in quality], 5, 80)
+    assert sorted(r["doc_id"] for r in near) == sorted(i for i, (_, c) in comp.items() if i == c)
+    items = [brute_windows(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = set().union(*(g for g, _ in items))
+    assert all(len(w) >= 8 for _, w in items)
+    assert sorted(r["doc_id"] for r in clean) == sorted(r["doc_id"] for r in near if not brute_windows(r["text"])[0] & grams)
+    copies = brute_mix([(r["doc_id"], r["text"], r["source"]) for r in clean])
+    assert sorted(r["doc_id"] for r in mixed) == sorted(i for i, n in copies.items() for _ in range(n))
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharded) == brute_shards([(r["doc_id"], r["text"]) for r in mixed])
+    assert {c for r in sharded for c in r.asDict()} == {*names, "shard", "slot"}
 
 
 def test_queries_have_known_names():

@@ -1,6 +1,6 @@
 import zlib
 
-from conftest import HARD, prose
+from llm_samples import HARD, prose
 from pyspark.sql import functions as F
 
 from siltstone.llm import pareto_mix, queries, sharding

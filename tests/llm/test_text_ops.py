@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import HARD, prose
+from llm_samples import HARD, prose
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, html_density, huffman_ids, line_dedup, minhash_join, suffix_dedup, textkit
