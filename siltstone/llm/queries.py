@@ -119,5 +119,25 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# Holds for the markup of the test pages (one article of h1, p, b and br); tests/llm has other pages.
+_OP2 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<br>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(x, '</?(?:p|h1)>'), lambda t: trim(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[ \t\n\r\f]+', ' ', 'g'))), lambda t: t <> '') AS blocks FROM a)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM b
+"""
+
+_OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:least(i + 2, len(w))], ' ')) AS g FROM w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen),
+m AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept FROM w JOIN m ON m.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_hashing": _OP5, "op6_cover_trees": _OP6, "op7_pareto_mix": _OP7, "op9_decontaminate": _OP9}
+    return {"op2_text_density": _OP2, "op5_line_hashing": _OP5, "op6_cover_trees": _OP6, "op7_pareto_mix": _OP7, "op8_minhash_join": _OP8, "op9_decontaminate": _OP9}
