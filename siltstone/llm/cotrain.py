@@ -3,8 +3,9 @@
 Two views of a document, each with a classifier of its own: its words
 (content), and what a page index knows without reading it (language, source,
 length, shares of character classes, repetition). Starting from labelled
-documents, each classifier labels pool documents that it is sure of for the
-other one, over some rounds. Both are calibrated on labelled documents held
+documents, each classifier labels all other documents that it is sure of for
+the other one, over some rounds. Both are naive Bayes, so that a round is one
+pass over all documents that counts features; both are calibrated on labelled documents held
 out from training, and a logistic combination of the calibrated views scores
 every document. There is one such pair for quality and one for toxicity.
 """
@@ -23,8 +24,9 @@ from pyspark.sql.types import StructType
 from . import textkit as tk
 from .common import Scratch
 
-#: Labelled documents to fit on, and documents of the pool for pseudo-labels (expected numbers; a hash of the id draws them).
-MOST_LABELLED, MOST_POOL = 12_000, 4_000
+TARGETS = ("quality", "toxic")
+#: Labelled documents whose scores calibrate the views, at most (an expected number; a hash of the id draws them).
+MOST_HELD = 20_000
 WORD_IDS = 1 << 20
 #: Quantiles at which numbers of the metadata view are cut; close at both ends, where junk lies.
 CUTS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
@@ -91,53 +93,44 @@ class Sparse:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def take(self, rows: np.ndarray) -> Sparse:
-        size = np.diff(self.first)[rows]
-        first = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.first[rows] - first[:-1], size) + np.arange(first[-1])
-        return Sparse(self.ids[at], first)
-
     def sums(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.ids], minlength=len(self.first) - 1)
+        """A row's weights over the root of how many of its ids have one: words of one text aren't independent, and long texts have more of them."""
+        at = np.flatnonzero(w[self.ids])
+        row, n = np.searchsorted(self.first, at, "right") - 1, len(self.first) - 1
+        return np.bincount(row, weights=w[self.ids[at]], minlength=n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Rising ids as 16-bit gaps; a gap of k * 65535 + r is k times 65535, then r."""
+    gaps = np.diff(ids, prepend=0)
+    out = np.full(len(gaps) + int((gaps // 65535).sum()), 65535, "<u2")
+    out[np.arange(len(gaps)) + np.cumsum(gaps // 65535)] = gaps % 65535
+    return out.tobytes()
+
+
+def unpack(rows: list[bytes]) -> Sparse:
+    size = np.array([len(x) // 2 for x in rows], "int64")
+    gaps = np.frombuffer(b"".join(rows), "<u2")
+    total, ends = np.concatenate([[0], np.cumsum(gaps, dtype="int64")]), np.concatenate([[0], np.cumsum(size)])
+    real = np.flatnonzero(gaps != 65535)
+    ids = total[real + 1] - np.repeat(total[ends[:-1]], size)[real]
+    return Sparse(ids, np.searchsorted(real, ends))
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(x: Sparse, rows: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
-    """Whether an id's share of y among the rows is off by four deviations of chance. Works in runs of rows, so it needs little memory."""
-    p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    seen, hit = np.zeros(width), np.zeros(width)
-    for lo in range(0, len(rows), 1000):
-        part = x.take(rows[lo : lo + 1000])
-        seen += np.bincount(part.ids, minlength=width)
-        hit += np.bincount(part.ids, weights=y[lo : lo + 1000][part.row], minlength=width)
-    return (seen >= 3) & (np.abs(hit - seen * p) >= 4 * np.sqrt(np.maximum(seen * p * (1 - p), 1e-9)))
-
-
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, width: int, steps: int = 150, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic weights over feature ids, the bias last."""
-    row, n = x.row, max(weight.sum(), 1e-9)
-    p = float(np.clip((weight * y).sum() / n, 1e-3, 1 - 1e-3))
-    live = np.bincount(x.ids, minlength=width) > 0
-    use = np.flatnonzero(live)
-    to = np.full(width, -1)
-    to[use] = np.arange(len(use))
-    keep = live[x.ids]
-    ids, row = to[x.ids[keep]], row[keep]
-    w = np.zeros(len(use) + 1)
-    w[-1] = np.log(p / (1 - p))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[ids], minlength=len(y)) + w[-1]
-        err = weight * (_sigmoid(z) - y) / n
-        g = np.concatenate([np.bincount(ids, weights=err[row], minlength=len(use)) + ridge * w[:-1] / max(len(use), 1), [err.sum()]])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    out = np.zeros(width + 1)
-    out[use], out[-1] = w[:-1], w[-1]
-    return out
+def telling(seen: np.ndarray, hit: np.ndarray, share: float) -> np.ndarray:
+    """Whether an id's share of hits is off by four deviations of chance."""
+    return (seen >= 3) & (np.abs(hit - seen * share) >= 4 * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)))
+
+
+def fit(seen: np.ndarray, hit: np.ndarray, n: float, positive: float, select: np.ndarray | None = None) -> np.ndarray:
+    """Naive Bayes weights of feature ids from how many rows (of n, positive ones) have them: all that a fit needs are counts, which executors add up."""
+    p = float(np.clip(positive / max(n, 1e-9), 1e-3, 1 - 1e-3))
+    w = np.log((hit + p) / p) - np.log((seen - hit + 1 - p) / (1 - p))
+    return np.where(seen > 0 if select is None else select, w, 0.0).astype("float32")
 
 
 def platt(z: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
@@ -162,7 +155,7 @@ def platt(z: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) ->
 class Model:
     """The fitted classifier: bin edges and, for each target, the weights of both views, their calibrations and combination."""
 
-    edges: np.ndarray
+    edges: list[np.ndarray]
     heads: dict[str, tuple]
 
     def meta(self, numbers: np.ndarray, named: np.ndarray) -> np.ndarray:
@@ -170,98 +163,148 @@ class Model:
         cols = [k * BINS + np.searchsorted(self.edges[k], numbers[:, k]) for k in range(numbers.shape[1])]
         return np.stack([*cols, len(NUMBERS) * BINS + named[:, 0], len(NUMBERS) * BINS + LANGS + named[:, 1]], axis=1)
 
+    def logits(self, words: Sparse, meta: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The calibrated views."""
+        wa, wb, ca, cb, _ = self.heads[name]
+        return words.sums(wa) * ca[0] + ca[1], wb[meta].sum(1) * cb[0] + cb[1]
+
     def scores(self, words: Sparse, meta: np.ndarray) -> dict[str, np.ndarray]:
-        out = {}
-        for name, (wa, wb, ca, cb, comb) in self.heads.items():
-            a = np.column_stack([words.sums(wa[:-1]) + wa[-1]]) @ ca[:1] + ca[1]
-            b = np.column_stack([wb[meta].sum(1) + wb[-1]]) @ cb[:1] + cb[1]
-            out[name] = _sigmoid(np.column_stack([a, b]) @ comb[:2] + comb[2])
-        return out
-
-
-def cotrain(words: Sparse, numbers: np.ndarray, named: np.ndarray, labels: dict[str, np.ndarray], rounds: int = 3, sure: float = 0.98, pool_weight: float = 0.3, seed: int = 7) -> Model:
-    """labels: 0, 1 or -1 (pool) by target. A fifth of the labelled rows is held out to calibrate and combine."""
-    n = len(numbers)
-    edges = [np.unique(np.quantile(numbers[:, k], CUTS)) if n else np.zeros(0) for k in range(numbers.shape[1])]
-    model = Model(edges, {})
-    meta = model.meta(numbers, named)
-    flat = Sparse(meta.ravel(), np.arange(0, meta.size + 1, meta.shape[1]))
-    usable = {t: np.flatnonzero(y >= 0) for t, y in labels.items()}
-    fold = {t: np.random.default_rng(seed).random(len(k)) < 0.2 for t, k in usable.items()}
-    # Words that tell nothing about either label go before anything else is done with them.
-    live = np.zeros(WORD_IDS, bool)
-    for t, known in usable.items():
-        rows = known[~fold[t]]
-        if len(rows):
-            live |= telling(words, rows, labels[t][rows].astype(float), WORD_IDS)
-    kept = np.flatnonzero(live[words.ids])
-    words = Sparse(words.ids[kept].astype("int64"), np.searchsorted(kept, words.first))
-    for target, y in labels.items():
-        known, held = usable[target], usable[target][fold[target]]
-        train = np.setdiff1d(known, held)
-        if len(held) < 10 or len(np.unique(y[train])) < 2:
-            # Too little to learn from: the share of the label is all there is to say.
-            p = (y[known].sum() + 1) / (len(known) + 2)
-            const = float(np.log(p / (1 - p)))
-            model.heads[target] = (np.zeros(WORD_IDS + 1), np.zeros(META_IDS + 1), np.array([0.0, 0.0]), np.array([0.0, 0.0]), np.array([0.0, 0.0, const]))
-            continue
-        pool = np.flatnonzero(y < 0)
-        given = {"a": {}, "b": {}}
-        for turn in range(rounds + 1):
-            fitted = {}
-            for view, x, width in (("a", words, WORD_IDS), ("b", flat, META_IDS)):
-                extra = np.array(sorted(given[view]), "int64")
-                rows = np.concatenate([train, extra])
-                target_y = np.concatenate([y[train], [given[view][r] for r in extra]]).astype(float)
-                weight = np.concatenate([np.ones(len(train)), np.full(len(extra), pool_weight)])
-                w = fit(x.take(rows), target_y, weight, width)
-                z = x.sums(w[:-1]) + w[-1]
-                fitted[view] = (w, z, platt(z[held, None], y[held]))
-            if turn == rounds or not len(pool):
-                break
-            for view, other in (("a", "b"), ("b", "a")):
-                _, z, c = fitted[view]
-                p = _sigmoid(z[pool] * c[0] + c[1])
-                for r, q in zip(pool[(p >= sure) | (p <= 1 - sure)], p[(p >= sure) | (p <= 1 - sure)]):
-                    given[other][int(r)] = int(q >= 0.5)
-        (wa, za, ca), (wb, zb, cb) = fitted["a"], fitted["b"]
-        both = np.column_stack([za * ca[0] + ca[1], zb * cb[0] + cb[1]])
-        model.heads[target] = (wa, wb, ca, cb, platt(both[held], y[held]))
-    return model
+        return {name: _sigmoid(np.column_stack(self.logits(words, meta, name)) @ h[4][:2] + h[4][2]) for name, h in self.heads.items()}
 
 
 def _featurise(batches):
     for b in batches:
-        langs, sources = b.column(2).to_pylist(), b.column(3).to_pylist()
-        words, rest = [], []
-        for i, j, ids, first, numbers, named in views(b.column(1), langs, sources):
-            words += [ids[first[r] : first[r + 1]].astype("<i4").tobytes() for r in range(j - i)]
-            rest += [np.concatenate([numbers[r], named[r]]).tolist() for r in range(j - i)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(rest, pa.list_(pa.float64()))], names=["id", "words", "meta"])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, **how) -> Model:
-    """Fits on a sample of labelled documents and of others: features of about most_labelled + most_pool documents reach the driver (some 1 KB each).
-
-    Labels with a null id or value take no part; of several rows of one id the lowest values count."""
-    tmp = Scratch(docs.sparkSession, "cotrain")
-    clean = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    drawn = lambda col, share: F.pmod(F.xxhash64(F.lit(11), col), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
-    n_labels = clean.count()
-    marked = tmp.table(clean.where(drawn("id", most_labelled / max(n_labels, 1))), "labels")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text", "lang", "source")
-    n_docs = rows.count()
-    pool = rows.where(drawn("id", most_pool / max(n_docs, 1)) & F.col("id").isNotNull())
-    known = rows.join(F.broadcast(marked), "id", "left_semi")
-    schema = "id long, words binary, meta array<double>"
-    found = tmp.table(known.unionByName(pool).mapInArrow(_featurise, schema).dropDuplicates(["id"]), "features").join(F.broadcast(marked), "id", "left")
-    got = found.orderBy("id").toArrow()
-    packed = got.column("words").combine_chunks().cast(pa.large_binary())
-    edges = np.frombuffer(packed.buffers()[1], "int64")[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, "int64")
-    x = Sparse(np.frombuffer(packed.buffers()[2], "<i4")[edges[0] // 4 : edges[-1] // 4] if edges[-1] > edges[0] else np.zeros(0, "<i4"), (edges - edges[0]) // 4)
-    meta = np.array(got.column("meta").to_pylist(), float).reshape(-1, len(NUMBERS) + 2)
-    value = lambda c: np.array([-1 if x is None else int(x) for x in got.column(c).to_pylist()], "int64")
-    return cotrain(x, meta[:, : len(NUMBERS)], meta[:, len(NUMBERS) :].astype("int64"), {"quality": value("quality"), "toxic": value("toxic")}, **how)
+        for i, j, ids, first, numbers, named in views(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            words = [pack(np.sort(ids[first[r] : first[r + 1]])) for r in range(j - i)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.binary()), *map(pa.array, numbers.T), *map(pa.array, named.T)], names=["id", "words", *NUMBERS, "lang_id", "source_id"])
+
+
+def _read(b: pa.RecordBatch, model: Model):
+    """(words, ids of the metadata view, quality, toxic) of a batch of the features table, by runs of rows."""
+    for lo in range(0, b.num_rows, 2000):
+        part = b.slice(lo, 2000)
+        col = lambda c: part.column(c).to_numpy(zero_copy_only=False)
+        label = {t: part.column(t).fill_null(-1).to_numpy(zero_copy_only=False).astype("int64") for t in TARGETS}
+        yield unpack(part.column("words").to_pylist()), model.meta(np.column_stack([col(c) for c in NUMBERS]), np.column_stack([col("lang_id"), col("source_id")])), label
+
+
+#: Feature ids of both views in a row, and one that every document has.
+WIDTH = WORD_IDS + META_IDS + 1
+#: Counts travel in pieces of so many ids.
+PIECE = 1 << 12
+
+
+def _added(rows: DataFrame, count, kinds: int) -> np.ndarray:
+    """Sums over all tasks of the counts (kinds x WIDTH) that count(batch, total) adds to a task's total."""
+
+    def run(batches):
+        total = np.zeros((kinds, WIDTH), "int64")
+        for b in batches:
+            count(b, total)
+        for lo in range(0, WIDTH, PIECE):
+            part = total[:, lo : lo + PIECE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=["lo", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        part = sum(np.frombuffer(x.as_py(), "<i4").astype("int64") for x in table.column("part"))
+        return pa.table({"lo": table.column("lo").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
+
+    schema = "lo long, part binary"
+    out = np.zeros((kinds, WIDTH), "int64")
+    for r in rows.mapInArrow(run, schema).groupBy("lo").applyInArrow(add, schema).collect():
+        out[:, r["lo"] : r["lo"] + PIECE] = np.frombuffer(r["part"], "int64").reshape(kinds, -1)
+    return out
+
+
+def _count(total: np.ndarray, words: Sparse, meta: np.ndarray, y: np.ndarray, views: str = "ab") -> None:
+    """Adds rows with y >= 0 to total[0], those with y == 1 to total[1]."""
+    size = np.diff(words.first)
+    for k, rows in enumerate((y >= 0, y == 1)):
+        if "a" in views:
+            total[k, :WORD_IDS] += np.bincount(words.ids[np.repeat(rows, size)], minlength=WORD_IDS)
+        if "b" in views:
+            total[k, WORD_IDS:-1] += np.bincount(meta[rows].ravel(), minlength=META_IDS)
+        total[k, -1] += int(rows.sum())
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = 3, sure: float = 0.98, pool_weight: float = 0.3) -> Model:
+    """Fits on all labelled documents and, from the second round on, on all others that a view is sure of.
+
+    Every round is a pass of the executors over the features of all documents; counts of feature ids come back (of fixed size), and the
+    scores of the held-out labelled documents: a fifth of them, about MOST_HELD at most. Labels with a null id or value take no part; of
+    several rows of one id the lowest values count."""
+    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "cotrain")
+    clean = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    drawn = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < F.lit(int(min(0.2, MOST_HELD / max(clean.count(), 1)) * (1 << 30)))
+    schema = ", ".join(["id long, words binary", *(f"{x} double" for x in NUMBERS), "lang_id long, source_id long"])
+    features = docs.select(F.col(id_col).cast("long").alias("id"), "text", "lang", "source").mapInArrow(_featurise, schema)
+    rows = tmp.table(features.join(clean, "id", "left").withColumn("held", F.col("quality").isNotNull() & drawn), "features")
+    held = tmp.table(rows.where("held"), "held")
+    cuts = rows.agg(*(F.percentile_approx(c, list(CUTS), 10_000).alias(c) for c in NUMBERS)).first()
+    model = Model([np.unique(cuts[c] or []) for c in NUMBERS], {})
+    bare = Model(model.edges, {})
+
+    def labelled(b, total):
+        for words, meta, label in _read(b, bare):
+            for k, t in enumerate(TARGETS):
+                _count(total[2 * k : 2 * k + 2], words, meta, label[t])
+
+    def known_scores(fitted):
+        """For each target (scores of the content view, of the metadata view, labels) of the held-out documents."""
+
+        def run(batches):
+            for b in batches:
+                for words, meta, label in _read(b, bare):
+                    for k, t in enumerate(TARGETS):
+                        if t in fitted:
+                            wa, wb = fitted[t]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(meta), k)), pa.array(words.sums(wa)), pa.array(wb[meta].sum(1), pa.float64()), pa.array(label[t])], names=["k", "a", "b", "y"])
+
+        got = held.mapInArrow(run, "k long, a double, b double, y long").toPandas().sort_values(["k", "a", "b", "y"])
+        return {t: tuple(got.loc[got.k == k, c].to_numpy() for c in "aby") for k, t in enumerate(TARGETS)}
+
+    base = _added(rows.where("quality IS NOT NULL AND NOT held"), labelled, 4)
+    calibrating = {t: held.agg(F.count("*"), F.sum(t)).first() for t in TARGETS}
+    extra = np.zeros((8, WIDTH), "int64")
+    for turn in range(rounds + 1):
+        fitted = {}
+        for k, t in enumerate(TARGETS):
+            seen, hit = base[2 * k : 2 * k + 2]
+            n, positive = int(seen[-1]), int(hit[-1])
+            if calibrating[t][0] < 10 or positive in (0, n):
+                # Too little to learn from: the share of the label is all there is to say.
+                p = (positive + (calibrating[t][1] or 0) + 1) / (n + calibrating[t][0] + 2)
+                model.heads[t] = (np.zeros(WORD_IDS, "float32"), np.zeros(META_IDS, "float32"), np.zeros(2), np.zeros(2), np.array([0.0, 0.0, float(np.log(p / (1 - p)))]))
+                continue
+            both = []
+            for v, at in enumerate((slice(0, WORD_IDS), slice(WORD_IDS, WIDTH - 1))):
+                more = extra[4 * k + 2 * v : 4 * k + 2 * v + 2] * pool_weight
+                s, h = seen + more[0], hit + more[1]
+                select = telling(seen[at], hit[at], positive / n) if v == 0 else None
+                both.append(fit(s[at], h[at], s[-1], h[-1], select))
+            fitted[t] = both
+        for t, (za, zb, y) in known_scores(fitted).items() if fitted else ():
+            if t in fitted:
+                ca, cb = platt(za[:, None], y), platt(zb[:, None], y)
+                model.heads[t] = (*fitted[t], ca, cb, platt(np.column_stack([za * ca[0] + ca[1], zb * cb[0] + cb[1]]), y))
+        if turn == rounds or not fitted:
+            break
+
+        def exchanged(b, total, heads=dict(model.heads)):
+            now = Model(bare.edges, heads)
+            for words, meta, _ in _read(b, now):
+                for k, t in enumerate(TARGETS):
+                    # What one view is sure of becomes a label for the other.
+                    for v, z in zip("ba", now.logits(words, meta, t)):
+                        p = _sigmoid(z)
+                        y = np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1))
+                        at = 4 * k + 2 * "ab".index(v)
+                        _count(total[at : at + 2], words, meta, y, v)
+
+        extra = _added(rows.where("quality IS NULL"), exchanged, 8)
+    tmp.drop("features", "held")
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least_quality: float = 0.5, most_toxic: float = 0.3, model: Model | None = None, **how) -> DataFrame:
@@ -271,11 +314,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least_qual
     null text is an empty one; without usable labels every document gets the
     labels' mean (0.5 for none) and documents are kept unless it says otherwise.
     Columns named like the outputs are replaced. The weights sent to the
-    executors have a fixed size (about 16 MB)."""
+    executors have a fixed size (about 8 MB)."""
     base = docs.drop("quality_score", "toxic_score", "kept")
     model = model or train(docs, labels, id_col, **how)
-    heads = {k: tuple(np.asarray(x, "float32") if len(x) > 3 else x for x in h) for k, h in model.heads.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model.edges, heads))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = base.columns
     at = {c: names.index(c) for c in ("text", "lang", "source")}
     schema = StructType([*base.schema.fields]).add("quality_score", "double").add("toxic_score", "double")

@@ -132,3 +132,40 @@ def test_pipeline_against_brute_force(spark):
 
 def test_queries_have_known_names():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_ids_pack():
+    rows = [np.array(x, "int64") for x in ([], [0], [65535, 131070, 131071], [], [3, 70_000, (1 << 20) - 1])]
+    got = cotrain.unpack([cotrain.pack(x) for x in rows])
+    assert got.ids.tolist() == np.concatenate(rows).tolist() and np.diff(got.first).tolist() == [len(x) for x in rows]
+
+
+def exchange_docs(spark):
+    """Labelled documents whose source tells the label; the others' sources do too, and `novel` is in unlabelled bad ones alone."""
+    rows = []
+    for i in range(4000):
+        bad, known = i % 4 == 0, i < 2400
+        rows.append((i, f"w{i % 13} v{i % 7} " + (("poor" if known else "novel") if bad else "fine"), "en", "bad" if bad else "good"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return docs, docs.where("doc_id < 2400").selectExpr("doc_id", "int(source = 'good') AS quality", "int(doc_id % 2) AS toxic")
+
+
+def word_weight(model, word):
+    import pyarrow as pa
+
+    _, _, ids, *_ = next(cotrain.views(pa.array([word]), ["en"], ["x"]))
+    return min(model.heads["quality"][0][ids])
+
+
+def test_all_documents_take_part(spark, monkeypatch):
+    seen = []
+    added = cotrain._added
+    monkeypatch.setattr(cotrain, "_added", lambda *how: seen.append(added(*how)) or seen[-1])
+    docs, labels = exchange_docs(spark)
+    more = docs.unionByName(docs.where("doc_id >= 2400").crossJoin(spark.range(1, 9)).selectExpr("doc_id + 100000 * id AS doc_id", "text", "lang", "source"))
+    model = cotrain.train(more, labels, rounds=1)
+    assert seen[1][0, -1] == 9 * 1600  # the metadata view is sure of every other document, the content view of those without a new word
+    assert seen[1][2, -1] == 9 * 1200
+    edges = cotrain.train(docs.where("doc_id < 2400").unionByName(docs.where("doc_id >= 2400").withColumn("text", F.repeat("text", 50))), labels, rounds=0).edges
+    assert max(edges[0]) > 6  # lengths that no labelled document has
+    assert set(model.heads) == {"quality", "toxic"}
