@@ -281,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: in
             for v, at in enumerate((slice(0, WORD_IDS), slice(WORD_IDS, WIDTH - 1))):
                 more = extra[4 * k + 2 * v : 4 * k + 2 * v + 2] * pool_weight
                 s, h = seen + more[0], hit + more[1]
-                select = telling(seen[at], hit[at], positive / n) if v == 0 else None
+                # Words are chosen anew each round, so that what the other view labels can bring new ones.
+                select = telling(s[at], h[at], h[-1] / s[-1]) if v == 0 else None
                 both.append(fit(s[at], h[at], s[-1], h[-1], select))
             fitted[t] = both
         for t, (za, zb, y) in known_scores(fitted).items() if fitted else ():

@@ -169,3 +169,9 @@ def test_all_documents_take_part(spark, monkeypatch):
     edges = cotrain.train(docs.where("doc_id < 2400").unionByName(docs.where("doc_id >= 2400").withColumn("text", F.repeat("text", 50))), labels, rounds=0).edges
     assert max(edges[0]) > 6  # lengths that no labelled document has
     assert set(model.heads) == {"quality", "toxic"}
+
+
+def test_words_of_pseudo_labelled_documents_count(spark):
+    docs, labels = exchange_docs(spark)
+    assert word_weight(cotrain.train(docs, labels, rounds=0), "novel") == 0
+    assert word_weight(cotrain.train(docs, labels, rounds=1), "novel") < -0.5
