@@ -35,6 +35,8 @@ NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|pro
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
+#: End tags of raw elements; a lower-cased copy of the page may have other offsets.
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 class Node:
@@ -72,7 +74,6 @@ def parse(page: str) -> Node:
     root = Node("html", None)
     open_ = [root]
     at, articles = 0, 0
-    low = None
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
             open_[-1].kids.append(page[at : m.start()])
@@ -121,11 +122,9 @@ def parse(page: str) -> Node:
         node = Node(tag, open_[-1], _is_chrome(tag, attrs, articles > 0))
         open_[-1].kids.append(node)
         if tag in RAW:
-            if low is None:
-                low = page.lower()
-            end = low.find(f"</{tag}", at)
+            end = RAW_END[tag].search(page, at)
             node.chrome = True
-            close = page.find(">", end) if end >= 0 else -1
+            close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif tag not in VOID and not attrs.endswith("/"):
             open_.append(node)

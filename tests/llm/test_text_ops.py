@@ -50,6 +50,10 @@ def test_main_text(page, want):
     assert html_density.main_text(page) == want
 
 
+def test_raw_elements_after_letters_that_grow():
+    assert html_density.main_text("<p>" + "İ" * 60 + "</p><script>x</SCRIPT><p>the whole next paragraph</p><p>end") == "İ" * 60 + "\nthe whole next paragraph\nend"
+
+
 def test_pages_against_markup(spark):
     import html
     import re
