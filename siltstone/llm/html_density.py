@@ -198,36 +198,25 @@ def _blocks(n: Node, out: list[list[str]], path: frozenset = frozenset(), best:
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order joined by \\n, white space inside a block one space, references decoded.
 
-    Where the page marks articles (article, main), the densest of them is
-    taken whole; else the node of the largest density sum with the outer
-    blocks that reach the threshold of its path. None and pages without text
-    give ''."""
+    That is the node of the largest density sum, widened to the article or
+    main around it if there is one, with the outer blocks that reach the
+    threshold of its path. None and pages without text give ''."""
     if not page or not page.strip():
         return ""
     root = parse(page)
     nodes = densities(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
     out: list[list[str]] = [[]]
-    if marked:
-        inside = [n for m in marked for n in _order(m)]
-        best = max(inside, key=lambda n: (n.dsum, n.chars))
-        top = best
-        while best is not None:
-            if best.tag in ("article", "main"):
-                top = best
-                if best.tag == "article":
-                    break
-            best = best.parent
-        _blocks(top, out)
-    else:
-        best = max((n for n in nodes if n is not root or body is root), key=lambda n: (n.dsum, n.chars))
-        above, threshold, n = [], best.density, best
-        while n is not body and n.parent is not None:
-            n = n.parent
-            above.append(id(n))
-            threshold = min(threshold, n.density)
-        _blocks(body if above else best, out, frozenset(above), best, threshold)
+    best = max((n for n in nodes if n is not root or body is root), key=lambda n: (n.dsum, n.chars))
+    above, threshold, n, top = [], best.density, best, best
+    while n is not body and n.parent is not None:
+        # An article or main around the node is content whole; the innermost article goes first.
+        if top.tag != "article" and n.tag in ("article", "main"):
+            top, above = n, []
+        n = n.parent
+        above.append(id(n))
+        threshold = min(threshold, n.density)
+    _blocks(n if above else top, out, frozenset(above), top, threshold)
     lines = (SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in out if b)
     return "\n".join(x for x in lines if x)
 

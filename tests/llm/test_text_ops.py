@@ -54,6 +54,15 @@ def test_raw_elements_after_letters_that_grow():
     assert html_density.main_text("<p>" + "İ" * 60 + "</p><script>x</SCRIPT><p>the whole next paragraph</p><p>end") == "İ" * 60 + "\nthe whole next paragraph\nend"
 
 
+def test_articles_do_not_hide_denser_text():
+    long = "The long main text goes on and has many words. " * 8
+    cards = "".join(f"<article><a href=x>teaser number {i} to some other page</a></article>" for i in range(4))
+    page = f"<body><div><div><p>{long}</p><p>{long}</p></div></div><div>{cards}</div></body>"
+    assert html_density.main_text(page) == f"{long.strip()}\n{long.strip()}"
+    parts = f"<body><div><article><p>{long}</p><p>{long}</p></article><article><p>{long}</p><p>{long}</p></article></div></body>"
+    assert html_density.main_text(parts) == "\n".join([long.strip()] * 4)
+
+
 def test_pages_against_markup(spark):
     import html
     import re
