@@ -30,8 +30,8 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in CLOSES.items(
 #: Elements that are no part of the main text.
 CHROME = frozenset("nav footer aside form script style noscript iframe template button select menu dialog svg math object embed canvas audio video textarea input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
-#: Words of class and id that name boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|comment-?list|respond|replies|disqus|related|recommend\w*|widget|pagination|pager|toolbar|masthead|skip-?link)(?:$|[\s_-])", re.I)
+#: Whole tokens of class and id that name boilerplate.
+NAMES = re.compile(r"(?<!\S)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|comment-?list|respond|replies|disqus|related|recommend\w*|widget|pagination|pager|toolbar|masthead|skip-?link)(?!\S)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"\s+")
@@ -40,10 +40,10 @@ RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chrome", "hidden", "chars", "tags", "lchars", "ltags", "density", "dsum")
+    __slots__ = ("tag", "parent", "kids", "chrome", "hidden", "chars", "tags", "lchars", "ltags", "density", "dsum", "named", "text", "marked")
 
-    def __init__(self, tag, parent, chrome=False):
-        self.tag, self.parent, self.chrome = tag, parent, chrome
+    def __init__(self, tag, parent, chrome=False, named=False):
+        self.tag, self.parent, self.chrome, self.named = tag, parent, chrome, named
         self.kids: list = []
 
 
@@ -56,10 +56,7 @@ def _is_chrome(tag: str, attrs: str, inside_article: bool) -> bool:
         return False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
-            if NAMES.search(value):
-                return True
-        elif name == "role":
+        if name == "role":
             if value.lower() in ROLES:
                 return True
         elif name == "aria-hidden" and value.lower() == "true":
@@ -69,6 +66,32 @@ def _is_chrome(tag: str, attrs: str, inside_article: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", attrs))
 
 
+def _is_named(tag: str, attrs: str) -> bool:
+    return bool(attrs) and tag not in ("body", "html", "article", "main") and any(m[1].lower() in ("class", "id") and NAMES.search(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs))
+
+
+def _drop_named(root: Node) -> None:
+    """Makes elements that are boilerplate by name so, save those that hold an article or main, or most of the page's text (and, on a page with an article elsewhere, the node of the largest density sum)."""
+    nodes = _order(root)
+    for n in reversed(nodes):
+        n.text, n.marked = 0, False
+        for k in n.kids:
+            if type(k) is not Node:
+                n.text += len(k.strip())
+            elif not k.chrome:
+                n.text, n.marked = n.text + k.text, n.marked or k.marked
+        n.marked = n.marked or n.tag in ("article", "main") and n.text > 0
+    named = [n for n in nodes if n.named and not n.marked]
+    dense = set()
+    if root.marked and any(2 * n.text > root.text for n in named):
+        best = max(densities(root), key=lambda n: (n.dsum, n.chars))
+        while best is not None:
+            dense.add(id(best))
+            best = best.parent
+    for n in named:
+        n.chrome = 2 * n.text <= root.text or root.marked and id(n) not in dense
+
+
 def parse(page: str) -> Node:
     """The tree of a page: nodes hold nodes and strings in page order. Tolerates unclosed and stray tags."""
     root = Node("html", None)
@@ -119,7 +142,7 @@ def parse(page: str) -> Node:
                         break
                 elif open_[i].tag in stop:
                     break
-        node = Node(tag, open_[-1], _is_chrome(tag, attrs, articles > 0))
+        node = Node(tag, open_[-1], _is_chrome(tag, attrs, articles > 0), _is_named(tag, attrs))
         open_[-1].kids.append(node)
         if tag in RAW:
             end = RAW_END[tag].search(page, at)
@@ -134,6 +157,7 @@ def parse(page: str) -> Node:
         # A tag that the end of the page cuts off is no text.
         cut = re.search(r"<[a-zA-Z/!][^>]*$", tail)
         open_[-1].kids.append(tail[: cut.start()] if cut else tail)
+    _drop_named(root)
     return root
 
 

@@ -63,6 +63,13 @@ def test_articles_do_not_hide_denser_text():
     assert html_density.main_text(parts) == "\n".join([long.strip()] * 4)
 
 
+@pytest.mark.parametrize("names", ["layout no-sidebar", "content-with-sidebar", "post has-comments", "elementor-widget elementor-widget-theme-post-content", "widget", "notice"])
+def test_names_do_not_drop_the_article(names):
+    assert html_density.main_text(f"<body><div class='{names}'><article><p>kept text of the page</p></article></div><div class='sidebar'>s</div></body>") == "kept text of the page"
+    long = "The long main text goes on. " * 8
+    assert html_density.main_text(f"<body><div class='{names}'><p>{long}</p></div><div class='box sidebar'>s</div></body>") == long.strip()
+
+
 def test_pages_against_markup(spark):
     import html
     import re
