@@ -350,8 +350,8 @@ def global_counts(tokens: DataFrame, width: int) -> np.ndarray:
     return counts
 
 
-def write_segments(tokens: DataFrame, path: str, width: int = 2) -> np.ndarray:
-    """Writes (id, n, ids) as segments in ascending id; returns the code lengths. The vocabulary bounds what reaches the driver."""
+def write_segments(tokens: DataFrame, path: str, width: int = 2) -> None:
+    """Writes (id, n, ids) as segments in ascending id, and beside them a row with the code lengths. The vocabulary bounds what reaches the driver."""
     lengths = code_lengths(global_counts(tokens, width))
     codes = canonical(lengths)
     dtype = f"<u{width}"
@@ -378,12 +378,15 @@ def write_segments(tokens: DataFrame, path: str, width: int = 2) -> np.ndarray:
 
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, "docs array<long>, counts array<long>, gaps binary, data binary").write.option("compression", "none").parquet(path)
-    return lengths
+    ordered.mapInArrow(run, "docs array<long>, counts array<long>, gaps binary, data binary").write.option("compression", "none").parquet(f"{path}/segments")
+    row = [(bytearray(zlib.compress(lengths.astype("uint8").tobytes())),)]
+    tokens.sparkSession.createDataFrame(row, "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
 
 
-def read_segments(spark, path: str, lengths: np.ndarray) -> DataFrame:
-    """(id, n_tokens, ids_crc32, ids): every document decoded from the files; ids as little-endian unsigned 32-bit integers."""
+def read_segments(spark, path: str) -> DataFrame:
+    """(id, n_tokens, ids_crc32, ids): every document decoded from the files alone; ids as little-endian unsigned 32-bit integers."""
+
+    lengths = np.frombuffer(zlib.decompress(bytes(spark.read.parquet(f"{path}/codes").first()["lengths"])), "uint8")
 
     def run(batches):
         table = decode_table(lengths)
@@ -397,7 +400,7 @@ def read_segments(spark, path: str, lengths: np.ndarray) -> DataFrame:
                     part = raw[i : i + 512]
                     yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 512], pa.int64()), pa.array(counts[i : i + 512]), pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array(part, pa.binary())], names=["id", "n_tokens", "ids_crc32", "ids"])
 
-    return spark.read.parquet(path).mapInArrow(run, "id long, n_tokens long, ids_crc32 long, ids binary")
+    return spark.read.parquet(f"{path}/segments").mapInArrow(run, "id long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def positions(decoded: DataFrame) -> DataFrame:
@@ -432,8 +435,8 @@ def encode(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     spark, tmp = df.sparkSession, Scratch(df.sparkSession, "ids")
     width = encoder(tokenizer).dtype.itemsize
     tokens = tmp.table(tokenize(df, tokenizer, end_id, id_col, text_col), "tokens")
-    path = path or f"{tmp.base}/segments"
-    lengths = write_segments(tokens, path, width)
+    path = path or f"{tmp.base}/files"
+    write_segments(tokens, path, width)
     tmp.drop("tokens")
-    decoded = tmp.table(read_segments(spark, path, lengths).select("id", "n_tokens", "ids_crc32"), "decoded")
+    decoded = tmp.table(read_segments(spark, path).select("id", "n_tokens", "ids_crc32"), "decoded")
     return positions(decoded).withColumnRenamed("id", id_col)

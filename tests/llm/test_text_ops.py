@@ -165,6 +165,14 @@ def test_files_round_trip(docs):
     assert huffman_ids.encode(docs([]), TOKENIZER).count() == 0
 
 
+def test_files_decode_by_themselves(docs, spark, tmp_path):
+    rows = [(i, prose(i, 30)) for i in range(20)]
+    path = f"file://{tmp_path}/tokens"
+    out = {r["doc_id"]: r["ids_crc32"] for r in huffman_ids.encode(docs(rows), TOKENIZER, path=path).collect()}
+    again = {r["id"]: r["ids_crc32"] for r in huffman_ids.read_segments(spark.newSession(), path).collect()}
+    assert again == out and len(out) == 20
+
+
 # ---------------------------------------------------------------- repeats
 
 
