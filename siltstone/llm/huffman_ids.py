@@ -8,37 +8,38 @@ looks up MAX_BITS bits at a time in one table, for all blocks of a segment at
 once.
 
 Segments are rows of a Parquet table (any file system that Spark writes to,
-task commit included); `Segment.to_bytes` is the same record as a file of its
-own.
+task commit included), and the code lengths are a table beside them, so files
+decode by themselves. A segment also says which run of the id order it is of
+and how many ids of that run come before it.
 """
 
 from __future__ import annotations
 
 import json
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import Scratch
 
+#: Bits of a code at most; more only where there are more symbols than codes of so many bits.
 MAX_BITS = 16
 BLOCK = 128
 #: Ids in a segment, unless one document has more.
 SEGMENT_IDS = 1 << 19
-MAGIC = b"HID1"
 
 
 # ---------------------------------------------------------------- codes
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most `most` bits (package-merge); 0 where the count is 0."""
+    """Lengths of an optimal prefix code of at most `most` bits (package-merge), or of as many as its symbols need; 0 where the count is 0."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), "uint8")
     if len(used) == 0:
@@ -46,8 +47,7 @@ def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
     if len(used) == 1:
         out[used] = 1
         return out
-    if len(used) > 1 << most:
-        raise ValueError(f"{len(used)} symbols need codes longer than {most} bits")
+    most = max(most, int(len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     weight = counts[order].astype("int64")
     n = len(order)
@@ -87,8 +87,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(id, length) by the next `most` bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, length) by the next bits, as many as the longest code has and MAX_BITS at least."""
+    most = max(MAX_BITS, int(lengths.max(initial=0)))
     codes = canonical(lengths).astype("int64")
     used = np.flatnonzero(lengths)
     ids, bits = np.zeros(1 << most, "uint32"), np.ones(1 << most, "uint8")
@@ -109,7 +110,7 @@ def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: i
         raise ValueError("an id without a code")
     at = np.zeros(len(ids) + 1, "int64")
     np.cumsum(size, out=at[1:])
-    # Codes lie in words of 32 bits; one of up to 16 bits touches two at most.
+    # Codes lie in words of 32 bits; one of up to 32 bits touches two at most.
     word, shift = at[:-1] >> 5, 64 - (at[:-1] & 31) - size
     wide = codes[ids].astype("uint64") << shift.astype("uint64")
     out = np.zeros(int(at[-1] >> 5) + 2, "uint64")
@@ -119,9 +120,10 @@ def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: i
     return out.astype(">u4").tobytes()[: int(at[-1] + 7) // 8], at[:-1:block].copy()
 
 
-def decode_ids(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], block: int = BLOCK, most: int = MAX_BITS) -> np.ndarray:
-    """The n ids; every block is read from its checkpoint, all blocks in step."""
+def decode_ids(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray], block: int = BLOCK) -> np.ndarray:
+    """The n ids; every block is read from its checkpoint, all blocks in step. Codes have 24 bits at most."""
     ids, bits = table
+    most = len(ids).bit_length() - 1
     raw = np.frombuffer(data + b"\0" * 8, "uint8").astype("uint32")
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]  # 32 bits from each byte on
     out = np.zeros((block, len(offsets)), "uint32")
@@ -136,37 +138,11 @@ def decode_ids(data: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray
     return out.T.ravel()[:n]
 
 
-class Segment:
-    """A run of documents: their ids, the ids of their ends and how many tokens each has."""
-
-    @staticmethod
-    def to_bytes(data: bytes, offsets: np.ndarray, docs: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> bytes:
-        head = struct.pack("<4sIQQQ", MAGIC, BLOCK, len(docs), int(counts.sum()), len(offsets))
-        packed = zlib.compress(lengths.astype("uint8").tobytes())
-        return head + struct.pack("<I", len(packed)) + packed + docs.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + offsets.astype("<i8").tobytes() + data
-
-    @staticmethod
-    def from_bytes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc ids, tokens of each, all ids)."""
-        magic, block, docs, n, blocks = struct.unpack_from("<4sIQQQ", blob)
-        if magic != MAGIC:
-            raise ValueError("not a segment")
-        at = 32
-        (size,) = struct.unpack_from("<I", blob, at)
-        lengths = np.frombuffer(zlib.decompress(blob[at + 4 : at + 4 + size]), "uint8")
-        at += 4 + size
-        parts = []
-        for count in (docs, docs, blocks):
-            parts.append(np.frombuffer(blob, "<i8", count, at))
-            at += 8 * count
-        return parts[0], parts[1], decode_ids(blob[at:], parts[2], n, decode_table(lengths), block)
-
-
 # ---------------------------------------------------------------- tokens
 
 
-#: Units of text that a worker remembers (about 20 bytes each).
-REMEMBERED = 4_000_000
+#: Units of text that a worker remembers (about 50 bytes each).
+REMEMBERED = 2_000_000
 #: 0: white space, 1: letters (ASCII, and the bytes of U+00C0 to U+00FF), 2: ASCII marks, 3: anything else.
 UNIT_KIND = np.full(256, 3, "int8")
 UNIT_KIND[[32, *range(9, 14)]] = 0
@@ -197,7 +173,9 @@ class WordEncoder:
     words, so a text's ids are its words' ids in a row. How a word of plain
     Latin letters splits is found by the tokenizer's own pattern and its model;
     any other word goes through the whole tokenizer, and so does any text with
-    unusual white space. Words are known by a 64-bit hash."""
+    unusual white space. Words are found by a 64-bit hash and told apart by
+    their bytes (over 16 of them: by a 128-bit digest); a text with a word whose hash
+    another word has already goes through the whole tokenizer too."""
 
     def __init__(self, path: str):
         import regex
@@ -219,6 +197,10 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
+    @staticmethod
+    def hash(key: np.ndarray) -> np.ndarray:
+        return tk.key_hashes(key[:, 0], key[:, 1], key[:, 2])
+
     def library(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
 
@@ -232,17 +214,19 @@ class WordEncoder:
         return out
 
     def _forget(self) -> None:
-        """What is known: hashes in order, and where the ids of each begin in `flat`; about 20 bytes a word."""
+        """What is known: hashes in order, the keys and length of each one's word, and where its ids begin in `flat`."""
         self.hashes, self.begins, self.sizes = np.zeros(0, "uint64"), np.zeros(0, "int64"), np.zeros(0, "int64")
+        self.keys = np.zeros((0, 3), "uint64")
         self.flat = np.zeros(0, self.dtype)
 
-    def _learn(self, hashes: np.ndarray, lists: list[list[int]]) -> None:
+    def _learn(self, hashes: np.ndarray, keys: np.ndarray, lists: list[list[int]]) -> None:
         size = np.fromiter(map(len, lists), "int64", len(lists))
         begin = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter((x for k in lists for x in k), self.dtype, int(size.sum()))])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.begins, self.sizes = every[order], np.concatenate([self.begins, begin])[order], np.concatenate([self.sizes, size])[order]
+        self.keys = np.concatenate([self.keys, keys])[order]
 
     def _units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Spans that encode on their own: runs of letters and runs of marks, or a whole word that has anything else in it."""
@@ -272,15 +256,19 @@ class WordEncoder:
                 yield i, j, counts, np.concatenate([np.array([*x, end_id], self.dtype) for x in lists]) if rows else np.zeros(0, self.dtype)
                 continue
             starts, ends, first = self._units(data, off)
-            distinct, at, where = np.unique(tk.span_hashes(tk.FOLD[data] if self.folds else data, starts, ends), return_index=True, return_inverse=True)
+            key = tk.span_keys(tk.FOLD[data] if self.folds else data, starts, ends)
+            key = np.stack([*key, (ends - starts).astype("uint64")], axis=1)
+            distinct, at, where = np.unique(self.hash(key), return_index=True, return_inverse=True)
             if len(self.hashes) > REMEMBERED:
                 self._forget()
             place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
             new = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
             raw = data.tobytes()
             if len(new):
-                self._learn(distinct[new], [self.word(raw[starts[k] : ends[k]].decode()) for k in at[new].tolist()])
+                self._learn(distinct[new], key[at[new]], [self.word(raw[starts[k] : ends[k]].decode()) for k in at[new].tolist()])
                 place = np.searchsorted(self.hashes, distinct)
+            other = np.flatnonzero((key != self.keys[place][where]).any(1))
+            whole[np.searchsorted(first, other, "right") - 1] = True
             size, begin = self.sizes[place], self.begins[place]
             flat = self.flat
             many = size[where]
@@ -315,7 +303,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, ids): ids as packed little-endian integers with end_id after each document."""
+    """(id, n, crc, ids): ids as packed little-endian integers with end_id after each document, and their crc32."""
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -323,9 +311,10 @@ def tokenize(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             for i, j, counts, ids in enc.encode_column(b.column(1), end_id):
                 raw, edge = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)]) * enc.dtype.itemsize
                 parts = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(edge.astype("int64").tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts), parts], names=["id", "n", "ids"])
+                crc = [zlib.crc32(raw[lo:hi]) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts), pa.array(crc, pa.int64()), parts], names=["id", "n", "crc", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n long, ids binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, n long, crc long, ids binary")
 
 
 def global_counts(tokens: DataFrame, width: int) -> np.ndarray:
@@ -351,78 +340,70 @@ def global_counts(tokens: DataFrame, width: int) -> np.ndarray:
 
 
 def write_segments(tokens: DataFrame, path: str, width: int = 2) -> None:
-    """Writes (id, n, ids) as segments in ascending id, and beside them a row with the code lengths. The vocabulary bounds what reaches the driver."""
+    """Writes (id, n, crc, ids) as segments in ascending id, and beside them a row with the code lengths. The vocabulary bounds what reaches the driver.
+
+    Each task writes a run of the order by (id, crc), so rows of one id, or without one, don't meet in one task."""
     lengths = code_lengths(global_counts(tokens, width))
     codes = canonical(lengths)
     dtype = f"<u{width}"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        def segment(docs, counts, parts):
+        part, before = TaskContext.get().partitionId(), 0
+
+        def segment(docs, crcs, counts, parts):
             ids = np.frombuffer(b"".join(parts), dtype)
             data, offsets = encode_ids(ids, codes, lengths)
-            gaps = np.diff(offsets, prepend=0).astype("<u2")  # a block has at most 128 codes of 16 bits
-            return pa.RecordBatch.from_arrays([pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([gaps.tobytes()], pa.binary()), pa.array([data], pa.binary())], names=["docs", "counts", "gaps", "data"])
+            gaps = np.diff(offsets, prepend=0).astype("<u2")  # a block has at most 128 codes of 24 bits
+            row = [part, before, len(ids), docs, crcs[0], counts, gaps.tobytes(), data]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["run", "before", "n", "docs", "crc", "counts", "gaps", "data"])
 
-        docs, counts, parts, have = [], [], [], 0
+        rows, have = ([], [], [], []), 0
         for b in batches:
-            for i, n, ids in zip(*(c.to_pylist() for c in b.columns)):
-                docs.append(i)
-                counts.append(n)
-                parts.append(ids)
-                have += n
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                for column, v in zip(rows, row):
+                    column.append(v)
+                have += row[2]
                 if have >= SEGMENT_IDS:
-                    yield segment(docs, counts, parts)
-                    docs, counts, parts, have = [], [], [], 0
-        if docs:
-            yield segment(docs, counts, parts)
+                    yield segment(*rows)
+                    before, rows, have = before + have, ([], [], [], []), 0
+        if rows[0]:
+            yield segment(*rows)
 
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, "docs array<long>, counts array<long>, gaps binary, data binary").write.option("compression", "none").parquet(f"{path}/segments")
+    order = (F.col("id").asc_nulls_first(), "crc")
+    ordered = tokens.select("id", "crc", "n", "ids").repartitionByRange(n, *order).sortWithinPartitions(*order, "ids")
+    ordered.mapInArrow(run, "run long, before long, n long, docs array<long>, crc long, counts array<long>, gaps binary, data binary").write.option("compression", "none").parquet(f"{path}/segments")
     row = [(bytearray(zlib.compress(lengths.astype("uint8").tobytes())),)]
     tokens.sparkSession.createDataFrame(row, "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
 
 
 def read_segments(spark, path: str) -> DataFrame:
-    """(id, n_tokens, ids_crc32, ids): every document decoded from the files alone; ids as little-endian unsigned 32-bit integers."""
+    """(id, start, n_tokens, ids_crc32, ids): every document decoded from the files alone; start counts all ids before it,
+    ids are little-endian unsigned 32-bit integers.
 
+    The driver gets one row for each run of the order (a task of the writer)."""
     lengths = np.frombuffer(zlib.decompress(bytes(spark.read.parquet(f"{path}/codes").first()["lengths"])), "uint8")
+    table = spark.read.parquet(f"{path}/segments")
+    runs = table.groupBy("run").agg(F.min(F.struct(F.coalesce(F.element_at("docs", 1), F.lit(-(1 << 63))).alias("id"), F.element_at("docs", 1).isNotNull(), "crc")).alias("first"), F.sum("n").alias("n")).orderBy("first").collect()
+    base, at = {}, 0
+    for r in runs:
+        base[r["run"]] = at
+        at += r["n"]
 
     def run(batches):
-        table = decode_table(lengths)
+        codes = decode_table(lengths)
         for b in batches:
-            for docs, counts, gaps, data in zip(*(c.to_pylist() for c in b.columns)):
+            for which, before, docs, counts, gaps, data in zip(*(c.to_pylist() for c in b.columns)):
                 counts = np.array(counts, "int64")
-                ids = decode_ids(data, np.cumsum(np.frombuffer(gaps, "<u2"), dtype="int64"), int(counts.sum()), table)
+                ids = decode_ids(data, np.cumsum(np.frombuffer(gaps, "<u2"), dtype="int64"), int(counts.sum()), codes)
                 ends = np.cumsum(counts)
+                start = base[which] + before + ends - counts
                 raw = [ids[e - c : e].astype("<u4").tobytes() for e, c in zip(ends, counts)]
                 for i in range(0, len(raw), 512):
                     part = raw[i : i + 512]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 512], pa.int64()), pa.array(counts[i : i + 512]), pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array(part, pa.binary())], names=["id", "n_tokens", "ids_crc32", "ids"])
-
-    return spark.read.parquet(f"{path}/segments").mapInArrow(run, "id long, n_tokens long, ids_crc32 long, ids binary")
+                    yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 512], pa.int64()), pa.array(start[i : i + 512]), pa.array(counts[i : i + 512]), pa.array([zlib.crc32(x) for x in part], pa.int64()), pa.array(part, pa.binary())], names=["id", "start", "n_tokens", "ids_crc32", "ids"])
 
-
-def positions(decoded: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32): start counts all ids before the document, in ascending id.
-
-    Ids are ranged over buckets of equal width in rank, sums of buckets go to
-    the driver, and each bucket adds up its own rows, so no task sees them all."""
-    lo, hi, n = decoded.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    lo, hi = lo or 0, hi or 0
-    buckets = max(1, min(4096, n // 1000))
-    bucket = F.coalesce(F.floor((F.col("id") - lo) / F.lit((hi - lo + 1) / buckets)), F.lit(-1))
-    rows = decoded.withColumn("__b", bucket)
-    sums = sorted((r[0], r[1]) for r in rows.groupBy("__b").agg(F.sum("n_tokens")).collect())
-    base, at = {}, 0
-    for b, s in sums:
-        base[b] = at
-        at += s
-    if not base:
-        return decoded.select("id", F.lit(0).cast("long").alias("start"), "n_tokens", "ids_crc32")
-    offset = decoded.sparkSession.createDataFrame([(int(b), int(s)) for b, s in base.items()], "__b long, __base long")
-    run = Window.partitionBy("__b").orderBy(F.col("id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.join(F.broadcast(offset), "__b").select("id", (F.col("__base") + F.sum("n_tokens").over(run) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
+    return table.select("run", "before", "docs", "counts", "gaps", "data").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def encode(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -430,7 +411,7 @@ def encode(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     (id, start, n_tokens, ids_crc32) from what it read.
 
     A null text is empty: its document is the end id alone. Documents of equal
-    ids (or null ones, which come first) stand in an order of their ids' crc;
+    ids (or null ones, which come first) stand in an order of their token ids' crc;
     an empty table writes no segments and gives no rows. Other columns take no part."""
     spark, tmp = df.sparkSession, Scratch(df.sparkSession, "ids")
     width = encoder(tokenizer).dtype.itemsize
@@ -438,5 +419,4 @@ def encode(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id
     path = path or f"{tmp.base}/files"
     write_segments(tokens, path, width)
     tmp.drop("tokens")
-    decoded = tmp.table(read_segments(spark, path).select("id", "n_tokens", "ids_crc32"), "decoded")
-    return positions(decoded).withColumnRenamed("id", id_col)
+    return read_segments(spark, path).select(F.col("id").alias(id_col), "start", "n_tokens", "ids_crc32")

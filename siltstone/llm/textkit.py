@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,12 +79,38 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[n
     return starts, np.flatnonzero(~gap & after) + 1, np.searchsorted(starts, off)
 
 
+#: Bytes of a span that its two keys hold as they are.
+EXACT = 16
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each span: its bytes, where it has at most EXACT of them, else a 128-bit digest.
+
+    With the span's length they tell spans apart: short ones for certain, long ones as blake2b does."""
+    size = ends - starts
+    padded = np.zeros(len(data) + EXACT, "uint8")
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + EXACT - 7, "<u8", padded, strides=(1,))
+    a = eight[starts] & _KEEP[np.minimum(size, 8)]
+    b = eight[np.minimum(starts + 8, len(data))] & _KEEP[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > EXACT)
+    if len(long):
+        raw = data.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[lo:hi], digest_size=16).digest() for lo, hi in zip(starts[long].tolist(), ends[long].tolist()))
+        pair = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        a[long], b[long] = pair[:, 0], pair[:, 1]
+    return a, b
+
+
+def key_hashes(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of a span's keys and length."""
+    return mix(mix(a + _R) ^ (b * _U(0xD1342543DE82EF95) + size.astype(_U)))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
-    up, down = powers(len(data))
-    run = np.zeros(len(data) + 1, _U)
-    np.cumsum(BYTE[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(_U))
+    return key_hashes(*span_keys(data, starts, ends), ends - starts)
 
 
 _COEF = mix(np.arange(1, 65, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)
