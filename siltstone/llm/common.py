@@ -55,6 +55,24 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+#: Keys that join_on_digest broadcasts, at most.
+MOST_HOT = 2000
+
+
+def join_on_digest(rows: DataFrame, keys: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with keys, a written table of distinct keys that says how many rows have each.
+
+    A key that more than one in MOST_HOT of those rows have is joined where its
+    rows lie, by a broadcast of at most MOST_HOT keys; no task then gathers more
+    than that share of the rows under one key."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = keys.where(F.col(count) > max(10_000, total // MOST_HOT))
+    if not hot.limit(1).count():
+        return rows.join(keys, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(keys, key))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, comp) for every node of the edges (a, b); comp is the smallest node reachable.
 

@@ -1,8 +1,12 @@
-"""Substring removal by hashing lines or paragraphs.
-
-Every unit is normalised and digested; digests are grouped over all documents,
-the earliest occurrence by (document id, place) stays and every later one is
-cut out. Spans keep their offsets in the original text.
+"""Substring removal by hashing lines or paragraphs, and runs of the sentences in them.
+
+A text is cut into sentences at line ends and after full stops. A unit is a
+whole line (or paragraph), or the shortest run of whole sentences from one
+sentence on that is long enough: a passage that stands in the middle of other
+lines, or is wrapped in another way, has the same runs wherever it stands.
+Units are normalised and digested; digests are grouped over all documents, the
+earliest occurrence by (document id, place) stays and every later one is cut
+out. Spans keep their offsets in the original text.
 """
 
 from __future__ import annotations
@@ -14,79 +18,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_on_digest
 
-#: What ends a unit.
-SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
+#: What ends a sentence: marks before white space, full-width marks, or a line's end.
+SEPARATOR = re.compile("[.!?][ \t-\r]+|[。！？][ \t-\r]*|\n[ \t-\r]*")
+#: What in a separator ends a line or a paragraph.
+ENDS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\x0b-\r]*\n")}
+#: Characters other than white space that a unit has at least (some twenty words). Shorter lines agree by chance.
+LEAST_CHARS = 100
 
 
-def units(text: str | None, unit: str = "line"):
-    """(start, end, normalised) of each unit, in code points; the end leaves out the separator."""
-    if not text:
-        return
-    at = 0
-    for m in SEPARATORS[unit].finditer(text):
-        yield at, m.start(), " ".join(text[at : m.start()].lower().split())
+def sentences(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with what separates it from the next, in code points; together they are the text."""
+    out, at = [], 0
+    for m in SEPARATOR.finditer(text or ""):
+        out.append((at, m.end()))
         at = m.end()
-    yield at, len(text), " ".join(text[at:].lower().split())
+    if text and at < len(text):
+        out.append((at, len(text)))
+    return out
+
+
+def units(text: str | None, unit: str = "line", least_chars: int = LEAST_CHARS) -> list[tuple[int, int, str]]:
+    """(start, end, normalised) of each unit: lower-cased, runs of white space one space."""
+    spans = sentences(text)
+    words = [text[lo:hi].lower().split() for lo, hi in spans]
+    size = [sum(map(len, w)) for w in words]
+    norm = [" ".join(w) for w in words]
+    pairs, stop, have = set(), 0, 0
+    for k, (lo, hi) in enumerate(spans):
+        while stop < len(spans) and have < least_chars:
+            have += size[stop]
+            stop += 1
+        if have >= least_chars and size[k]:
+            pairs.add((k, stop))
+        have -= size[k]
+    first, have = 0, 0
+    for k, (lo, hi) in enumerate(spans):
+        have += size[k]
+        if k + 1 == len(spans) or ENDS[unit].search(text, lo, hi):
+            if have >= least_chars:
+                pairs.add((first, k + 1))
+            first, have = k + 1, 0
+    return [(spans[a][0], spans[b - 1][1], " ".join(x for x in norm[a:b] if x)) for a, b in sorted(pairs)]
 
 
 def _digests(unit: str, least: int):
     def run(batches):
         for b in batches:
-            out = ([], [], [], [], [])
-            for i, t, text in zip(*(c.to_pylist() for c in b.columns)):
-                for n, (lo, hi, norm) in enumerate(units(text, unit)):
-                    if len(norm) >= least:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                out = ([], [], [], [], [])
+                for i, t, text in zip(*(c.to_pylist() for c in part.columns)):
+                    for lo, hi, norm in units(text, unit, least):
                         for column, v in zip(out, (i, t, lo, hi, hashlib.blake2b(norm.encode(), digest_size=16).digest())):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["id", "t", "lo", "hi", "digest"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], names=["id", "t", "lo", "hi", "digest"])
 
     return run
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans and without the separator that follows each (or comes before, at the end)."""
-    out, at = [], 0
-    for lo, hi in spans:
-        out.append(text[at:lo])
-        at = hi + 1 if text[hi : hi + 1] == "\n" else hi
-    left = "".join([*out, text[at:]])
-    return left[:-1] if spans and spans[-1][1] == len(text) and left.endswith("\n") else left
-
-
-def _apply(unit: str, least: int):
-    def run(batches):
-        for b in batches:
-            n, gone, kept = [], [], []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = sorted((s["lo"], s["hi"]) for s in spans or ())
-                n.append(sum(1 for _ in units(text, unit)))
-                gone.append([{"start": lo, "end": hi} for lo, hi in spans])
-                kept.append(None if text is None else cut(text, spans) if spans else text)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], names=["id", "n_units", "spans", "text"])
-
-    return run
-
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs that the spans cover."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
-def dedup_units(df: DataFrame, unit: str = "line", least_chars: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_units, spans, text) of every document: spans are the units removed, as code point offsets of the original; text is what stays.
 
-    Units are lower-cased and their white space is collapsed before they are
-    hashed (128 bits); those of fewer than least_chars normalised characters
-    are never removed. Rank is (id, offset): a null id comes last, and rows of
-    one id and text are one document, so none of them removes the other's
-    units. A null text has no units and stays null. Other columns take no part."""
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the spans."""
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return "".join(text[lo:hi] for lo, hi in zip(edges[::2], edges[1::2]))
+
+
+def _apply(batches):
+    for b in batches:
+        n, gone, kept = [], [], []
+        for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            spans = merged([(s["lo"], s["hi"]) for s in spans or ()])
+            n.append(len(sentences(text)))
+            gone.append([{"start": lo, "end": hi} for lo, hi in spans])
+            kept.append(text if not spans else cut(text, spans))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string())], names=["id", "n_sentences", "spans", "text"])
+
+
+def dedup_units(df: DataFrame, unit: str = "line", least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_sentences, spans, text) of every document: spans are the maximal runs removed, as code point offsets of the original, text is what stays.
+
+    Units are those of `units`: whole lines or paragraphs and runs of
+    sentences, each of least_chars characters or more; what is shorter and in no
+    longer repeat is left alone (least_chars=1 takes every line and sentence).
+    Each goes by a 128-bit digest. Rank is (id, offset): a null id comes last,
+    and rows of one id and text are one document, so none of them removes the
+    other's units. A later repeat within a document goes as well. A null text
+    has no units and stays null; an empty table gives no rows. Other columns
+    take no part, whatever their names."""
     tmp = Scratch(df.sparkSession, "lines")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
     found = tmp.table(docs.mapInArrow(_digests(unit, least_chars), "id long, t long, lo long, hi long, digest binary"), "units")
     rank = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("i"), F.col("lo"), F.col("t"))
     # Map-side partial counts: a unit that a third of all documents share is a row per task here.
-    first = found.groupBy("digest").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1").select("digest", "first")
-    later = found.join(first, "digest").where(rank != F.col("first"))
-    spans = tmp.table(later.select("id", "t", F.struct("lo", "hi").alias("s")).groupBy("id", "t").agg(F.collect_set("s").alias("spans")), "spans")
-    key = lambda d, i, t: d.select(F.col("id").alias(i), F.col("t").alias(t), "spans")
-    s = key(spans, "__i", "__t")
+    first = found.groupBy("digest").agg(F.count("*").alias("c"), F.min(rank).alias("first")).where("c > 1")
+    later = join_on_digest(found, tmp.table(first, "first"), "digest", "c").where(rank != F.col("first"))
+    spans = later.select("id", "t", F.struct("lo", "hi").alias("s")).groupBy("id", "t").agg(F.collect_set("s").alias("spans"))
+    s = spans.select(F.col("id").alias("__i"), F.col("t").alias("__t"), "spans")
     joined = docs.join(s, docs["id"].eqNullSafe(s["__i"]) & (docs["t"] == s["__t"]), "left").select("id", "text", "spans")
-    out = joined.mapInArrow(_apply(unit, least_chars), "id long, n_units long, spans array<struct<start:long,end:long>>, text string")
-    return out.select(F.col("id").alias(id_col), "n_units", "spans", F.col("text").alias(text_col))
+    out = joined.mapInArrow(_apply, "id long, n_sentences long, spans array<struct<start:long,end:long>>, text string")
+    return out.select(F.col("id").alias(id_col), "n_sentences", "spans", F.col("text").alias(text_col))

@@ -39,7 +39,7 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_units(_read(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_units", F.size("spans").cast("long").alias("n_removed"), gone.alias("n_removed_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", gone.alias("n_removed_chars"), F.size("spans").cast("long").alias("n_removed"), "n_sentences", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op6_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +100,22 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+# Units are sentences (u), whole lines (l) and the shortest runs of sentences of 100 characters (r); e holds first and last sentence of each.
 _OP5 = r"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents),
-n AS (SELECT doc_id, pos, line, trim(regexp_replace(lower(line), '[ \t\r\f\v]+', ' ', 'g')) AS norm FROM l),
-r AS (SELECT *, length(norm) >= 50 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS gone FROM n),
-a AS (SELECT doc_id, count(*) AS n_units, CAST(count_if(gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(CASE WHEN gone THEN length(line) END), 0) AS BIGINT) AS n_removed_chars,
-    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM r GROUP BY doc_id)
-SELECT doc_id, n_units, n_removed, n_removed_chars, sha256(kept) AS kept_sha256 FROM a
+WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?][ \t-\r]+|[。！？][ \t-\r]*|\n[ \t-\r]*)|.+') AS p FROM documents),
+v AS (SELECT doc_id, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS k FROM x),
+u AS (SELECT *, CAST(length(regexp_replace(s, '[ \t-\r]+', '', 'g')) AS BIGINT) AS size, contains(s, chr(10)) AS ends FROM v),
+c AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) AS upto, CAST(sum(length(s)) OVER w AS BIGINT) AS hi, count_if(ends) OVER w - CASE WHEN ends THEN 1 ELSE 0 END AS line FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r AS (SELECT a.doc_id, a.k AS k1, b.k AS k2 FROM (SELECT *, upto - size + 100 AS need FROM c WHERE size > 0) a ASOF JOIN (SELECT * FROM c WHERE size > 0) b ON a.doc_id = b.doc_id AND a.need <= b.upto),
+l AS (SELECT doc_id, min(k) AS k1, max(k) AS k2 FROM c GROUP BY doc_id, line HAVING sum(size) >= 100),
+e AS (SELECT * FROM r UNION SELECT * FROM l),
+n AS (SELECT e.doc_id, e.k1, e.k2, a.hi - length(a.s) AS lo, md5(trim(regexp_replace(lower(substr(x.text, CAST(a.hi - length(a.s) + 1 AS BIGINT), CAST(b.hi - a.hi + length(a.s) AS BIGINT))), '[ \t-\r]+', ' ', 'g'))) AS d
+    FROM e JOIN c a ON a.doc_id = e.doc_id AND a.k = e.k1 JOIN c b ON b.doc_id = e.doc_id AND b.k = e.k2 JOIN x ON x.doc_id = e.doc_id),
+f AS (SELECT d, min((doc_id, lo)) AS first FROM n GROUP BY d),
+g AS (SELECT DISTINCT doc_id, unnest(range(k1, k2 + 1)) AS k FROM n JOIN f USING (d) WHERE (doc_id, lo) <> first),
+m AS (SELECT c.doc_id, c.k, c.s, g.k IS NOT NULL AS gone, g.k IS NOT NULL AND coalesce(lag(g.k IS NULL) OVER (PARTITION BY c.doc_id ORDER BY c.k), true) AS head FROM c LEFT JOIN g ON g.doc_id = c.doc_id AND g.k = c.k),
+a AS (SELECT doc_id, count(*) AS n, CAST(count_if(head) AS BIGINT) AS runs, CAST(coalesce(sum(CASE WHEN gone THEN length(s) END), 0) AS BIGINT) AS chars, coalesce(string_agg(s, '' ORDER BY k) FILTER (WHERE NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(chars, 0) AS n_removed_chars, coalesce(runs, 0) AS n_removed, coalesce(n, 0) AS n_sentences, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)
 """
 
 

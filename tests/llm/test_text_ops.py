@@ -125,12 +125,39 @@ def test_package_merge_is_optimal():
         assert int((lengths * np.array(counts)).sum()) == cost
 
 
-def test_segment_round_trip():
-    ids = np.array([3, 1, 1, 1, 2, 3, 1])
-    lengths = huffman_ids.code_lengths(np.bincount(ids))
-    data, offsets = huffman_ids.encode_ids(ids, huffman_ids.canonical(lengths), lengths)
-    docs, counts, got = huffman_ids.Segment.from_bytes(huffman_ids.Segment.to_bytes(data, offsets, np.array([4, 9]), np.array([3, 4]), lengths))
-    assert docs.tolist() == [4, 9] and counts.tolist() == [3, 4] and got.tolist() == ids.tolist()
+def test_more_symbols_than_short_codes():
+    n = (1 << 16) + 5
+    lengths = huffman_ids.code_lengths(np.ones(n, "int64"))
+    assert lengths.max() == 17 and (0.5 ** lengths.astype(float)).sum() == 1
+    data, offsets = huffman_ids.encode_ids(np.arange(n), huffman_ids.canonical(lengths), lengths)
+    assert (huffman_ids.decode_ids(data, offsets, n, huffman_ids.decode_table(lengths)) == np.arange(n)).all()
+
+
+def thue_morse(n, a="a", b="b"):
+    """Words that sums of powers of one odd base can't tell from their complement."""
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_long_words_are_told_apart():
+    for n in (16, 17, 1024, 2048):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        for i, j, data, off in textkit.pieces(pa.array([x, y, "p" + x, x])):
+            h = textkit.span_hashes(data, *textkit.words(data, off)[:2])
+            assert h[0] != h[1] and h[0] == h[3] and len(set(h)) == 3
+
+
+def test_words_of_one_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(TOKENIZER)
+    texts = [f"{thue_morse(2048)} one", f"{thue_morse(2048, 'b', 'a')} two one", "three one", "\x00 \x00\x00"]
+    monkeypatch.setattr(huffman_ids.WordEncoder, "hash", staticmethod(lambda key: key[:, 2] % np.uint64(2)))  # all but two words collide
+    mine = huffman_ids.WordEncoder(TOKENIZER)
+    for part in (texts, texts[::-1]):
+        got = []
+        for _, _, counts, ids in mine.encode_column(pa.array(part), 1):
+            got += np.split(ids, np.cumsum(counts)[:-1])
+        assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in part]
 
 
 ODD = ["İstanbul ΣΑΣ 12.5% don't I'LL we're qu'on", "\xa0nb\x1csp a b", "<|endoftext|> x <|startoftext|>", "é café ​ zero 你好", "ñÑ ÀÉ ßẞ ×÷ ½²", "a<|endoftext|>b", "\x00\x01 \x7f", "Ｆｕｌｌ", "é ñ", "“q” – d l", "x\xad z_y__ $$$ a1b2"]
@@ -153,7 +180,7 @@ def test_files_round_trip(docs):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(TOKENIZER)
-    rows = [(i, t) for i, t in enumerate([*ODD, None, "", "w " * 5000])]
+    rows = [(i, t) for i, t in enumerate([*ODD, None, "", "w " * 5000, thue_morse(2048), thue_morse(2048, "b", "a")])] + [(1 << 60, "far away")]
     out = sorted(huffman_ids.encode(docs(rows[::-1]), TOKENIZER).collect(), key=lambda r: r["doc_id"])
     start = 0
     for (i, t), r in zip(rows, out):
@@ -162,6 +189,8 @@ def test_files_round_trip(docs):
         start += len(ids)
     hard = huffman_ids.encode(docs(HARD), TOKENIZER).collect()
     assert len(hard) == len(HARD) and len({r["start"] for r in hard}) == len(HARD)
+    lost = sorted(huffman_ids.encode(docs([(None, prose(i, 3)) for i in range(50)] + [(-(1 << 63), "least"), (5, "x")]), TOKENIZER).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in lost] == [0, *np.cumsum([r["n_tokens"] for r in lost])[:-1].tolist()] and [r["doc_id"] for r in lost] == [None] * 50 + [-(1 << 63), 5]
     assert huffman_ids.encode(docs([]), TOKENIZER).count() == 0
 
 
@@ -171,6 +200,14 @@ def test_files_decode_by_themselves(docs, spark, tmp_path):
     out = {r["doc_id"]: r["ids_crc32"] for r in huffman_ids.encode(docs(rows), TOKENIZER, path=path).collect()}
     again = {r["id"]: r["ids_crc32"] for r in huffman_ids.read_segments(spark.newSession(), path).collect()}
     assert again == out and len(out) == 20
+    # Another process, with nothing but the files.
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import zlib, numpy as np, pyarrow.parquet as pq; from siltstone.llm import huffman_ids as h\nl = np.frombuffer(zlib.decompress(pq.read_table({str(tmp_path)!r} + '/tokens/codes')['lengths'][0].as_py()), 'uint8')\nfor r in pq.read_table({str(tmp_path)!r} + '/tokens/segments').to_pylist():\n    ids = h.decode_ids(r['data'], np.cumsum(np.frombuffer(r['gaps'], '<u2'), dtype='int64'), r['n'], h.decode_table(l))\n    for i, x in zip(r['docs'], np.split(ids, np.cumsum(r['counts'])[:-1])): print(i, zlib.crc32(x.astype('<u4').tobytes()))"
+    shown = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout
+    assert dict(map(int, line.split()) for line in shown.splitlines()) == out
 
 
 # ---------------------------------------------------------------- repeats
@@ -227,15 +264,67 @@ def test_suffix_hard_rows(docs):
     assert suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
-def test_lines_keep_the_first(docs):
-    long = "This line is long enough to be taken for a repeat of another."
-    rows = [(3, f"{long}\nown three"), (1, f"own one\n{long.upper()}  \nshort\nshort"), (2, f"{long}\n{long}\nlast"), (4, None), (5, long)]
-    got = {r["doc_id"]: (r["text"], [(s["start"], s["end"]) for s in r["spans"]]) for r in line_dedup.dedup_units(docs(rows)).collect()}
-    assert got[1] == (f"own one\n{long.upper()}  \nshort\nshort", []) and got[2] == ("last", [(0, 61), (62, 123)])
-    assert got[3] == ("own three", [(0, 61)]) and got[4] == (None, []) and got[5] == ("", [(0, 61)])
-    assert line_dedup.dedup_units(docs(HARD)).count() == len(HARD) and line_dedup.dedup_units(docs([])).count() == 0
-    para = [(1, f"{long}\nmore of it\n\n{long}"), (2, f"x\n \n{long}\nmore of it")]
-    assert {r["doc_id"]: len(r["spans"]) for r in line_dedup.dedup_units(docs(para), unit="paragraph").collect()} == {1: 0, 2: 1}
+def brute_lines(rows, unit="line", least=100):
+    """id -> places removed, by the rule as it is told: every line and every shortest run of sentences, one after the other."""
+    import re
+
+    said, places = {}, {}
+    for i, t in rows:
+        t, spans = t or "", []
+        ends = sorted({m.end() for m in re.finditer("[.!?][ \t-\r]+|[。！？][ \t-\r]*|\n[ \t-\r]*", t)} | {len(t)}) if t else []
+        begins = [0, *ends[:-1]] if ends else []
+        solid = lambda a, b: len("".join(t[a:b].split()))
+        for a in begins:
+            run = next((b for b in ends if b > a and solid(a, b) >= least), None)
+            if run and solid(a, min(e for e in ends if e > a)):
+                spans.append((a, run))
+        breaks = [b for a, b in zip(begins, ends) if b == len(t) or ("\n" in t[a:b] if unit == "line" else re.search("\n[ \t]*\n", t[a:b]))]
+        spans += [(a, b) for a, b in zip([0, *breaks], breaks) if solid(a, b) >= least]
+        places[i] = spans
+        for a, b in spans:
+            key = " ".join(t[a:b].lower().split())
+            said[key] = min(said.get(key, (i, a)), (i, a))
+    out = {}
+    for i, t in rows:
+        t = t or ""
+        gone = {k for a, b in places[i] if said[" ".join(t[a:b].lower().split())] != (i, a) for k in range(a, b)}
+        out[i] = ("".join(c for k, c in enumerate(t) if k not in gone), sorted(gone))
+    return out
+
+
+LONG = "This line is long enough, at a hundred letters or more without its blanks, to be taken for a repeat of another one somewhere."
+PASSAGE = "First comes a sentence of middling length. Then there is one more of them to go with it! Is a third one needed to make a passage? A fourth one comes along as well, and it has a second part to it. The fifth of them ends it all, which makes it some fifty words. "
+
+
+def line_rows():
+    rows = [(3, f"{LONG}\nown three"), (1, f"own one\n{LONG.upper()}  \nshort\nshort"), (2, f"{LONG}\n{LONG}\nlast"), (4, None), (5, LONG), (6, ""), (7, "\n\n" + LONG)]
+    rows += [(10, f"What stands before {PASSAGE}and what comes after."), (11, f"Quite another beginning\n{PASSAGE}is followed by others."), (12, "Wrapped in lines, " + PASSAGE.replace(" ", "\n") + "it is the same."), (13, PASSAGE[:80])]
+    rows += [(20 + i, ". ".join(prose(i * k % 7, 4) for k in range(9)) + ("\n" if i % 2 else "\n\n") + LONG[: 20 * i]) for i in range(8)] + [(30, "the. " * 200), (31, "好。" * 120), (32, "好。" * 120)]
+    return rows
+
+
+@pytest.mark.parametrize("unit, least", [("line", 100), ("paragraph", 100), ("line", 1)])
+def test_lines_against_brute_force(docs, unit, least):
+    rows = line_rows()
+    got = {r["doc_id"]: (r["text"] or "", sorted(k for s in r["spans"] for k in range(s["start"], s["end"]))) for r in line_dedup.dedup_units(docs(rows), unit, least).collect()}
+    assert got == brute_lines(rows, unit, least)
+
+
+def test_passages_inside_lines(docs):
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_units(docs(line_rows())).collect()}
+    assert got[10] == dict(line_rows())[10] and "third one" not in got[11] and got[11].startswith("Quite another beginning") and got[13] == PASSAGE[:80]
+    assert got[1] == f"own one\n{LONG.upper()}  \nshort\nshort" and got[2] == "last" and got[3] == "own three" and got[5] == "" and got[4] is None
+
+
+def test_lines_hard_rows(docs, monkeypatch):
+    from siltstone.llm import common
+
+    d = docs(HARD).selectExpr("*", "'clash' AS t", "1 AS spans", "'x' AS digest", "2 AS id")
+    assert line_dedup.dedup_units(d).count() == len(HARD) and line_dedup.dedup_units(docs([])).count() == 0
+    rows = [(i, f"own {i}\n{LONG}\n{prose(i, 30)}") for i in range(12_000)]
+    monkeypatch.setattr(common, "MOST_HOT", 3)  # the common line is joined by broadcast
+    out = line_dedup.dedup_units(docs(rows))
+    assert out.where("size(spans) = 1").count() == 11_999 and "BroadcastHashJoin" in out._jdf.queryExecution().toString()
 
 
 # ---------------------------------------------------------------- near duplicates
