@@ -1,13 +1,14 @@
 """Quality classification by co-training.
 
-Two views of a document, each with a classifier of its own: its words
-(content), and what a page index knows without reading it (language, source,
-length, shares of character classes, repetition). Starting from labelled
+Two views of a document, each with a classifier of its own: its words and how
+they repeat (content), and what a page index stores beside them (language,
+source, length, shares of character classes). Starting from labelled
 documents, each classifier labels all other documents that it is sure of for
 the other one, over some rounds. Both are naive Bayes, so that a round is one
-pass over all documents that counts features; both are calibrated on labelled documents held
-out from training, and a logistic combination of the calibrated views scores
-every document. There is one such pair for quality and one for toxicity.
+pass over all documents that counts features. Both are calibrated on labelled
+documents, each scored as if it had not been counted, and a logistic
+combination of the calibrated views scores every document. There is one such
+pair for quality and one for toxicity.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ from .common import Scratch
 
 TARGETS = ("quality", "toxic")
 #: Labelled documents whose scores calibrate the views, at most (an expected number; a hash of the id draws them).
-MOST_HELD = 20_000
-WORD_IDS = 1 << 20
+MOST_SCORED = 20_000
+WORD_IDS = 1 << 18
 #: Quantiles at which numbers of the metadata view are cut; close at both ends, where junk lies.
 CUTS = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998)
 BINS = len(CUTS) + 1
 #: Bytes of a word's beginning that are features as well.
 STEMS = (4, 5, 6)
 LANGS, SOURCES = 64, 1024
-#: Numbers of the metadata view.
-NUMBERS = ("chars", "lines", "word_length", "line_length", "upper", "digit", "punct", "symbols", "bar", "beyond_ascii", "new_words", "new_shingles", "same_again")
+#: Numbers of the content view (words and their repetition), then those of the metadata view.
+STYLE = ("word_length", "new_words", "new_shingles", "same_again")
+NUMBERS = (*STYLE, "chars", "lines", "line_length", "upper", "digit", "punct", "symbols", "bar", "beyond_ascii")
 META_IDS = len(NUMBERS) * BINS + LANGS + SOURCES
 
 _CLASS = {name: np.zeros(256, "int64") for name in ("upper", "digit", "punct", "symbols", "bar", "beyond_ascii", "newline", "space")}
@@ -77,7 +79,7 @@ def views(texts: pa.Array, langs: list, sources: list):
             np.cumsum(table[data], out=run[1:])
             total[name] = run[off[1:]] - run[off[:-1]]
         letters = np.bincount(row, weights=ends - starts, minlength=n)
-        numbers = np.stack([np.log1p(size), np.log1p(total["newline"]), letters / count, size / (1 + total["newline"]), *(total[x] / np.maximum(size - total["space"], 1) for x in ("upper", "digit", "punct", "symbols", "bar", "beyond_ascii")), np.diff(kinds) / count**0.8, np.diff(sh_bounds) / np.maximum(many, 1), again / count], axis=1)
+        numbers = np.stack([letters / count, np.diff(kinds) / count**0.8, np.diff(sh_bounds) / np.maximum(many, 1), again / count, np.log1p(size), np.log1p(total["newline"]), size / (1 + total["newline"]), *(total[x] / np.maximum(size - total["space"], 1) for x in ("upper", "digit", "punct", "symbols", "bar", "beyond_ascii"))], axis=1).astype("float32")
         named = np.stack([[zlib.crc32(str(x).encode()) % LANGS for x in langs[i:j]], [zlib.crc32(str(x).encode()) % SOURCES for x in sources[i:j]]], axis=1) if n else np.zeros((0, 2), "int64")
         yield i, j, (own & np.uint64(WORD_IDS - 1)).astype("int64"), bounds, numbers, named
 
@@ -95,9 +97,13 @@ class Sparse:
 
     def sums(self, w: np.ndarray) -> np.ndarray:
         """A row's weights over the root of how many of its ids have one: words of one text aren't independent, and long texts have more of them."""
-        at = np.flatnonzero(w[self.ids])
+        return self.each(w[self.ids])
+
+    def each(self, w: np.ndarray) -> np.ndarray:
+        """The same, given the weight of each id in its place."""
+        at = np.flatnonzero(w)
         row, n = np.searchsorted(self.first, at, "right") - 1, len(self.first) - 1
-        return np.bincount(row, weights=w[self.ids[at]], minlength=n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
+        return np.bincount(row, weights=w[at], minlength=n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1))
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -121,16 +127,14 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling(seen: np.ndarray, hit: np.ndarray, share: float) -> np.ndarray:
-    """Whether an id's share of hits is off by four deviations of chance."""
-    return (seen >= 3) & (np.abs(hit - seen * share) >= 4 * np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)))
-
+def fit(seen, hit, n, positive, choose: bool = False) -> np.ndarray:
+    """Naive Bayes weights of features from how many rows (of n, positive ones) have them: all that a fit needs are counts, which executors add up.
 
-def fit(seen: np.ndarray, hit: np.ndarray, n: float, positive: float, select: np.ndarray | None = None) -> np.ndarray:
-    """Naive Bayes weights of feature ids from how many rows (of n, positive ones) have them: all that a fit needs are counts, which executors add up."""
-    p = float(np.clip(positive / max(n, 1e-9), 1e-3, 1 - 1e-3))
+    With choose, a feature seen less than three times, or whose share of hits is within four deviations of chance, weighs 0."""
+    p = np.clip(positive / np.maximum(n, 1e-9), 1e-3, 1 - 1e-3)
     w = np.log((hit + p) / p) - np.log((seen - hit + 1 - p) / (1 - p))
-    return np.where(seen > 0 if select is None else select, w, 0.0).astype("float32")
+    keep = (seen >= 3) & (np.abs(hit - seen * p) >= 4 * np.sqrt(seen * p * (1 - p))) if choose else seen > 0
+    return np.where(keep, w, 0.0).astype("float32")
 
 
 def platt(z: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
@@ -151,6 +155,20 @@ def platt(z: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) ->
     return w
 
 
+def combine(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of two calibrated views, none below 0: a view that says next to nothing must not count the wrong way round."""
+    w = platt(z, y)
+    for k in range(2):
+        if w[k] < 0:
+            one = platt(z[:, 1 - k : 2 - k], y)
+            w = np.array([0.0, max(one[0], 0.0), one[1]] if k == 0 else [max(one[0], 0.0), 0.0, one[1]])
+    return w
+
+
+def _line(w: np.ndarray, *z: np.ndarray) -> np.ndarray:
+    return np.column_stack(z) @ w[:-1] + w[-1]
+
+
 @dataclass
 class Model:
     """The fitted classifier: bin edges and, for each target, the weights of both views, their calibrations and combination."""
@@ -159,24 +177,25 @@ class Model:
     heads: dict[str, tuple]
 
     def meta(self, numbers: np.ndarray, named: np.ndarray) -> np.ndarray:
-        """Feature ids of the metadata view, a row of them for each document."""
+        """Feature ids of numbers and names, a row of them for each document; the first len(STYLE) are the content view's."""
         cols = [k * BINS + np.searchsorted(self.edges[k], numbers[:, k]) for k in range(numbers.shape[1])]
         return np.stack([*cols, len(NUMBERS) * BINS + named[:, 0], len(NUMBERS) * BINS + LANGS + named[:, 1]], axis=1)
 
     def logits(self, words: Sparse, meta: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
         """The calibrated views."""
         wa, wb, ca, cb, _ = self.heads[name]
-        return words.sums(wa) * ca[0] + ca[1], wb[meta].sum(1) * cb[0] + cb[1]
+        w = wb[meta]
+        return _line(ca, words.sums(wa), w[:, : len(STYLE)].sum(1)), _line(cb, w[:, len(STYLE) :].sum(1))
 
     def scores(self, words: Sparse, meta: np.ndarray) -> dict[str, np.ndarray]:
-        return {name: _sigmoid(np.column_stack(self.logits(words, meta, name)) @ h[4][:2] + h[4][2]) for name, h in self.heads.items()}
+        return {name: _sigmoid(_line(h[4], *self.logits(words, meta, name))) for name, h in self.heads.items()}
 
 
 def _featurise(batches):
     for b in batches:
         for i, j, ids, first, numbers, named in views(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
             words = [pack(np.sort(ids[first[r] : first[r + 1]])) for r in range(j - i)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.binary()), *map(pa.array, numbers.T), *map(pa.array, named.T)], names=["id", "words", *NUMBERS, "lang_id", "source_id"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.binary()), *map(pa.array, numbers.T), *(pa.array(c.astype("int32")) for c in named.T)], names=["id", "words", *NUMBERS, "lang_id", "source_id"])
 
 
 def _read(b: pa.RecordBatch, model: Model):
@@ -188,7 +207,7 @@ def _read(b: pa.RecordBatch, model: Model):
         yield unpack(part.column("words").to_pylist()), model.meta(np.column_stack([col(c) for c in NUMBERS]), np.column_stack([col("lang_id"), col("source_id")])), label
 
 
-#: Feature ids of both views in a row, and one that every document has.
+#: Feature ids of words, of numbers and names, and one that every document has.
 WIDTH = WORD_IDS + META_IDS + 1
 #: Counts travel in pieces of so many ids.
 PIECE = 1 << 12
@@ -204,43 +223,89 @@ def _added(rows: DataFrame, count, kinds: int) -> np.ndarray:
         for lo in range(0, WIDTH, PIECE):
             part = total[:, lo : lo + PIECE]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([part.astype("<i4").tobytes()], pa.binary())], names=["lo", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["lo", "part"])
 
-    def add(table: pa.Table) -> pa.Table:
-        part = sum(np.frombuffer(x.as_py(), "<i4").astype("int64") for x in table.column("part"))
-        return pa.table({"lo": table.column("lo").slice(0, 1), "part": pa.array([part.tobytes()], pa.binary())})
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for lo, part in zip(*(c.to_pylist() for c in b.columns)):
+                part = np.frombuffer(zlib.decompress(part), "int64")
+                sums[lo] = sums[lo] + part if lo in sums else part
+        for lo, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["lo", "part"])
 
     schema = "lo long, part binary"
     out = np.zeros((kinds, WIDTH), "int64")
-    for r in rows.mapInArrow(run, schema).groupBy("lo").applyInArrow(add, schema).collect():
-        out[:, r["lo"] : r["lo"] + PIECE] = np.frombuffer(r["part"], "int64").reshape(kinds, -1)
+    for r in rows.mapInArrow(run, schema).repartition("lo").mapInArrow(add, schema).collect():
+        out[:, r["lo"] : r["lo"] + PIECE] = np.frombuffer(zlib.decompress(r["part"]), "int64").reshape(kinds, -1)
     return out
 
 
 def _count(total: np.ndarray, words: Sparse, meta: np.ndarray, y: np.ndarray, views: str = "ab") -> None:
-    """Adds rows with y >= 0 to total[0], those with y == 1 to total[1]."""
+    """Adds rows with y >= 0 to total[0], those with y == 1 to total[1]: features of the content view (a), the metadata view (b) or both."""
     size = np.diff(words.first)
+    cols = meta[:, slice(0 if "a" in views else len(STYLE), None if "b" in views else len(STYLE))]
     for k, rows in enumerate((y >= 0, y == 1)):
         if "a" in views:
             total[k, :WORD_IDS] += np.bincount(words.ids[np.repeat(rows, size)], minlength=WORD_IDS)
-        if "b" in views:
-            total[k, WORD_IDS:-1] += np.bincount(meta[rows].ravel(), minlength=META_IDS)
+        total[k, WORD_IDS:-1] += np.bincount(cols[rows].ravel(), minlength=META_IDS)
         total[k, -1] += int(rows.sum())
 
 
+def balanced(extra: np.ndarray, base: np.ndarray, pool_weight: float) -> np.ndarray:
+    """Counts of pseudo-labelled documents, weighted so that both labels have the share that they have among the labelled ones (base).
+
+    A view that is sure of one label only teaches nothing; in all they weigh no more than the labelled documents."""
+    hit, other = extra[1], extra[0] - extra[1]
+    share = base[1, -1] / base[0, -1]
+    whole = min(hit[-1] / share, other[-1] / (1 - share))
+    if not whole:
+        return np.zeros(extra.shape)
+    weight = min(pool_weight, base[0, -1] / whole) * whole
+    hit = hit * (weight * share / hit[-1])
+    return np.stack([hit + other * (weight * (1 - share) / other[-1]), hit])
+
+
+class Counts:
+    """What a target's two views have seen: counts of the labelled documents and, weighted, of the pseudo-labelled ones."""
+
+    def __init__(self, base: np.ndarray, extra: np.ndarray, pool_weight: float):
+        own = [base + balanced(extra[2 * v : 2 * v + 2], base, pool_weight) for v in range(2)]
+        self.n, self.positive = [x[0, -1] for x in own], [x[1, -1] for x in own]
+        self.words, style = own[0][:, :WORD_IDS], slice(WORD_IDS, WORD_IDS + len(STYLE) * BINS)
+        self.meta = own[1][:, WORD_IDS:-1].copy()
+        self.meta[:, : len(STYLE) * BINS] = own[0][:, style]
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        a = fit(*self.words, self.n[0], self.positive[0], True)
+        b = fit(*self.meta, self.n[1], self.positive[1])
+        b[: len(STYLE) * BINS] = fit(*self.meta[:, : len(STYLE) * BINS], self.n[0], self.positive[0])
+        return a, b
+
+    def without_own(self, words: Sparse, meta: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """(words, style, metadata) sums of labelled documents, each by the weights of all others."""
+        own = y[words.row]
+        a = words.each(fit(self.words[0, words.ids] - 1, self.words[1, words.ids] - own, self.n[0] - 1, self.positive[0] - own, True))
+        v = np.where(np.arange(meta.shape[1]) < len(STYLE), 0, 1)
+        n, positive = np.array(self.n)[v] - 1, np.array(self.positive)[v] - y[:, None]
+        b = fit(self.meta[0, meta] - 1, self.meta[1, meta] - y[:, None], n, positive)
+        return np.column_stack([a, b[:, : len(STYLE)].sum(1), b[:, len(STYLE) :].sum(1)])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = 3, sure: float = 0.98, pool_weight: float = 0.3) -> Model:
     """Fits on all labelled documents and, from the second round on, on all others that a view is sure of.
 
     Every round is a pass of the executors over the features of all documents; counts of feature ids come back (of fixed size), and the
-    scores of the held-out labelled documents: a fifth of them, about MOST_HELD at most. Labels with a null id or value take no part; of
-    several rows of one id the lowest values count."""
+    scores of labelled documents that calibrate: all of them, or a sample of about MOST_SCORED. Labels with a null id or value take no
+    part; of several rows of one id the lowest quality and the highest toxicity count."""
     spark, tmp = docs.sparkSession, Scratch(docs.sparkSession, "cotrain")
     clean = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    drawn = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < F.lit(int(min(0.2, MOST_HELD / max(clean.count(), 1)) * (1 << 30)))
-    schema = ", ".join(["id long, words binary", *(f"{x} double" for x in NUMBERS), "lang_id long, source_id long"])
+    drawn = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < F.lit(int(min(1.0, MOST_SCORED / max(clean.count(), 1)) * (1 << 30)))
+    schema = ", ".join(["id long, words binary", *(f"{x} float" for x in NUMBERS), "lang_id int, source_id int"])
     features = docs.select(F.col(id_col).cast("long").alias("id"), "text", "lang", "source").mapInArrow(_featurise, schema)
-    rows = tmp.table(features.join(clean, "id", "left").withColumn("held", F.col("quality").isNotNull() & drawn), "features")
-    held = tmp.table(rows.where("held"), "held")
+    # Labels grow with the documents: the join is a shuffle at every size.
+    rows = tmp.table(features.join(clean.hint("merge"), "id", "left"), "features")
+    scored = tmp.table(rows.where(F.col("quality").isNotNull() & drawn), "scored")
     cuts = rows.agg(*(F.percentile_approx(c, list(CUTS), 10_000).alias(c) for c in NUMBERS)).first()
     model = Model([np.unique(cuts[c] or []) for c in NUMBERS], {})
     bare = Model(model.edges, {})
@@ -250,46 +315,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: in
             for k, t in enumerate(TARGETS):
                 _count(total[2 * k : 2 * k + 2], words, meta, label[t])
 
-    def known_scores(fitted):
-        """For each target (scores of the content view, of the metadata view, labels) of the held-out documents."""
+    def known_scores(counts):
+        """For each target (sums of words, of style, of metadata, labels) of labelled documents."""
 
         def run(batches):
             for b in batches:
                 for words, meta, label in _read(b, bare):
                     for k, t in enumerate(TARGETS):
-                        if t in fitted:
-                            wa, wb = fitted[t]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(meta), k)), pa.array(words.sums(wa)), pa.array(wb[meta].sum(1), pa.float64()), pa.array(label[t])], names=["k", "a", "b", "y"])
+                        if t in counts:
+                            z = counts[t].without_own(words, meta, label[t])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(meta), k)), *(pa.array(c, pa.float64()) for c in z.T), pa.array(label[t])], names=["k", "a", "s", "b", "y"])
 
-        got = held.mapInArrow(run, "k long, a double, b double, y long").toPandas().sort_values(["k", "a", "b", "y"])
-        return {t: tuple(got.loc[got.k == k, c].to_numpy() for c in "aby") for k, t in enumerate(TARGETS)}
+        got = scored.mapInArrow(run, "k long, a double, s double, b double, y long").toPandas().sort_values(["k", "a", "s", "b", "y"])
+        return {t: (got.loc[got.k == k, ["a", "s", "b"]].to_numpy(), got.loc[got.k == k, "y"].to_numpy()) for k, t in enumerate(TARGETS)}
 
-    base = _added(rows.where("quality IS NOT NULL AND NOT held"), labelled, 4)
-    calibrating = {t: held.agg(F.count("*"), F.sum(t)).first() for t in TARGETS}
+    base = _added(rows.where("quality IS NOT NULL"), labelled, 4)
     extra = np.zeros((8, WIDTH), "int64")
     for turn in range(rounds + 1):
-        fitted = {}
+        counts = {}
         for k, t in enumerate(TARGETS):
-            seen, hit = base[2 * k : 2 * k + 2]
-            n, positive = int(seen[-1]), int(hit[-1])
-            if calibrating[t][0] < 10 or positive in (0, n):
+            n, positive = int(base[2 * k, -1]), int(base[2 * k + 1, -1])
+            if n < 10 or positive in (0, n):
                 # Too little to learn from: the share of the label is all there is to say.
-                p = (positive + (calibrating[t][1] or 0) + 1) / (n + calibrating[t][0] + 2)
-                model.heads[t] = (np.zeros(WORD_IDS, "float32"), np.zeros(META_IDS, "float32"), np.zeros(2), np.zeros(2), np.array([0.0, 0.0, float(np.log(p / (1 - p)))]))
+                p = (positive + 1) / (n + 2)
+                model.heads[t] = (np.zeros(WORD_IDS, "float32"), np.zeros(META_IDS, "float32"), np.zeros(3), np.zeros(2), np.array([0.0, 0.0, float(np.log(p / (1 - p)))]))
                 continue
-            both = []
-            for v, at in enumerate((slice(0, WORD_IDS), slice(WORD_IDS, WIDTH - 1))):
-                more = extra[4 * k + 2 * v : 4 * k + 2 * v + 2] * pool_weight
-                s, h = seen + more[0], hit + more[1]
-                # Words are chosen anew each round, so that what the other view labels can bring new ones.
-                select = telling(s[at], h[at], h[-1] / s[-1]) if v == 0 else None
-                both.append(fit(s[at], h[at], s[-1], h[-1], select))
-            fitted[t] = both
-        for t, (za, zb, y) in known_scores(fitted).items() if fitted else ():
-            if t in fitted:
-                ca, cb = platt(za[:, None], y), platt(zb[:, None], y)
-                model.heads[t] = (*fitted[t], ca, cb, platt(np.column_stack([za * ca[0] + ca[1], zb * cb[0] + cb[1]]), y))
-        if turn == rounds or not fitted:
+            # Words are chosen anew each round, so that what the other view labels can bring new ones.
+            counts[t] = Counts(base[2 * k : 2 * k + 2], extra[4 * k : 4 * k + 4], pool_weight)
+        for t, (z, y) in known_scores(counts).items() if counts else ():
+            if t in counts:
+                ca, cb = platt(z[:, :2], y), platt(z[:, 2:], y)
+                model.heads[t] = (*counts[t].weights(), ca, cb, combine(np.column_stack([_line(ca, z[:, 0], z[:, 1]), _line(cb, z[:, 2])]), y))
+        if turn == rounds or not counts:
             break
 
         def exchanged(b, total, heads=dict(model.heads)):
@@ -304,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: in
                         _count(total[at : at + 2], words, meta, y, v)
 
         extra = _added(rows.where("quality IS NULL"), exchanged, 8)
-    tmp.drop("features", "held")
+    tmp.drop("features", "scored")
     return model
 
 
@@ -315,7 +372,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least_qual
     null text is an empty one; without usable labels every document gets the
     labels' mean (0.5 for none) and documents are kept unless it says otherwise.
     Columns named like the outputs are replaced. The weights sent to the
-    executors have a fixed size (about 8 MB)."""
+    executors have a fixed size (about 2 MB)."""
     base = docs.drop("quality_score", "toxic_score", "kept")
     model = model or train(docs, labels, id_col, **how)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -167,7 +167,7 @@ def test_all_documents_take_part(spark, monkeypatch):
     assert seen[1][0, -1] == 9 * 1600  # the metadata view is sure of every other document, the content view of those without a new word
     assert seen[1][2, -1] == 9 * 1200
     edges = cotrain.train(docs.where("doc_id < 2400").unionByName(docs.where("doc_id >= 2400").withColumn("text", F.repeat("text", 50))), labels, rounds=0).edges
-    assert max(edges[0]) > 6  # lengths that no labelled document has
+    assert max(edges[cotrain.NUMBERS.index("chars")]) > 6  # lengths that no labelled document has
     assert set(model.heads) == {"quality", "toxic"}
 
 
