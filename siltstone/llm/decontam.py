@@ -1,55 +1,69 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Benchmark texts become windows of n normalised words. The set of their hashes
-is part of the scanning expression (a hash set on every executor), so a scan of
-the documents keeps only word positions whose window hash is in the set. Those
-few are compared word for word with the benchmark's windows by a join.
+Benchmark texts become windows of n normalised words, broadcast as a hash table
+from window hash to window text and items. A scan of the documents hashes every
+window of words, probes the table and compares what it finds word for word, all
+in one pass and without moving a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: A word is a run of ASCII letters and digits and of anything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word is a run of ASCII letters and digits and of anything beyond ASCII; this is what parts words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Window hashes that one scanning expression holds (8 bytes each and what a hash set adds: under 2 MB). More of them are joined instead.
-MOST_IN_SCAN = 20_000
+#: Pairs of an item and a window that one broadcast holds (some 200 bytes each). More of them take more scans.
+MOST_IN_SCAN = 400_000
+#: What stands after a document's window hashes, so that every document leaves the scan with a row.
+LAST = 0
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def _window_hashes(h: Column, n: int) -> Column:
-    """Hash of the n values from each place on, by doubling; the last n - 1 places hold hashes of what is left and count for nothing."""
-    rest, out, done, power, at = n, None, 0, h, 1
-    while rest:
-        if rest & 1:
-            out = power if out is None else F.zip_with(out, F.slice(power, done + 1, F.greatest(F.size(h) - done, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-            done += at
-        rest >>= 1
-        if rest:
-            power = F.zip_with(power, F.slice(power, at + 1, F.greatest(F.size(h) - at, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-            at *= 2
-    return out
+def _with_windows(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df (words __w) with a column __x<length> for each length: the hashes of its windows of so many words.
 
+    Hashes of 1, 2, 4, ... words are columns of their own, so that each is computed once."""
 
-def _spots(length: int, hashes: list[int]) -> Column:
-    """Places whose window of `length` words has one of the hashes."""
-    hit = F.transform(_window_hashes(F.col("__h"), length), lambda x, i: F.when(x.isin(hashes) & (i <= F.size("__h") - length), F.struct((i + 1).alias("at"), F.lit(length).alias("len"))))
-    return F.filter(hit, lambda x: x.isNotNull())
+    def joined(a: str, b: str, gap: int) -> Column:
+        return F.zip_with(a, F.slice(b, gap + 1, F.greatest(F.size(b) - gap, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    df = df.withColumn("__p1", F.transform("__w", lambda w: F.xxhash64(w)))
+    size = 1
+    while 2 * size <= max(lengths, default=1):
+        df = df.withColumn(f"__p{2 * size}", joined(f"__p{size}", f"__p{size}", size))
+        size *= 2
+    for length in lengths:
+        name, have = None, 0
+        for bit in range(length.bit_length()):
+            if length >> bit & 1:
+                if name is None:
+                    df, have = df.withColumn("__x", F.col(f"__p{1 << bit}")), 1 << bit
+                else:
+                    df, have = df.withColumn("__x", joined("__x", f"__p{1 << bit}", have)), have + (1 << bit)
+                name = "__x"
+        df = df.withColumn(f"__x{length}", F.slice("__x", 1, F.greatest(F.size("__w") - length + 1, F.lit(0)))).drop("__x")
+    return df
+
+
+def _gram(at: Column, length: Column) -> Column:
+    return F.array_join(F.slice("__w", at, length), " ")
 
 
 def benchmark_windows(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(item, len, gram, h): the distinct windows of each item; an item of fewer words, but not none, is one window."""
-    b = benchmark.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w")).where(F.size("w") > 0)
-    b = b.withColumn("len", F.least(F.size("w"), F.lit(n)))
-    b = b.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)))
-    return b.select("item", "len", F.array_join(F.slice("w", F.col("at"), F.col("len")), " ").alias("gram")).distinct()
+    """(h, len, gram, items): the distinct windows of all items; an item of fewer than n words, but not none, is one window."""
+    b = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("__w")).where("size(__w) > 0")
+    b = _with_windows(b, list(range(1, n + 1)))
+    own = F.element_at(F.array(*(F.col(f"__x{k}") for k in range(1, n + 1))), F.least(F.size("__w"), F.lit(n)))
+    b = b.select("item", "__w", F.least(F.size("__w"), F.lit(n)).alias("len"), F.posexplode_outer(own).alias("at", "h"))
+    b = b.select("item", "len", "h", _gram(F.col("at") + 1, F.col("len")).alias("gram"))
+    return b.groupBy("h", "len", "gram").agg(F.collect_set("item").alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", keep: tuple[str, ...] = (), most_in_scan: int = MOST_IN_SCAN) -> tuple[DataFrame, DataFrame]:
@@ -58,45 +72,47 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, id_col: str = "doc_i
 
     A null text has no words. Documents of one id and text are one entry of
     hits. Benchmark items that are null or without words have no windows. An
-    empty benchmark or table gives no hits."""
+    empty benchmark or table gives no hits. A benchmark of more than
+    most_in_scan windows is broadcast in parts, each with a scan of its own."""
     tmp = Scratch(docs.sparkSession, "decontam")
     bench = tmp.table(benchmark_windows(benchmark, n, item_col, bench_text_col), "windows")
-    by_len = {}
-    # The benchmark's windows: a small table by contract; at most most_in_scan of them reach the driver.
-    hashed = bench.select("len", "gram").distinct()
-    few = hashed.limit(most_in_scan + 1).count() <= most_in_scan
-    h_of = lambda words, length: F.element_at(_window_hashes(F.transform(words, lambda w: F.xxhash64(w)), length), 1)
-    lengths = [r[0] for r in bench.select("len").distinct().orderBy("len").collect()]
-    for length in lengths:
-        own = hashed.where(F.col("len") == length).select(h_of(F.split("gram", " "), length).alias("h")).distinct()
-        by_len[length] = own if not few else [r[0] for r in own.collect()]
-
-    rows = docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"), words_of(F.col(text_col)).alias("__w"), *keep)
-    rows = rows.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
-    found: list[Column] = []
-    if few:
-        for length, hashes in by_len.items():
-            found.append(_spots(length, hashes))
-    none = F.array().cast("array<struct<at:int,len:int>>")
-    spots = F.concat(none, *(f.cast("array<struct<at:int,len:int>>") for f in found))
-    gram = lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), F.array_join(F.slice("__w", x["at"], x["len"]), " ").alias("gram"))
-    seen = tmp.table(rows.withColumn("__s", spots).select(id_col, "__t", F.size("__w").cast("long").alias("n_words"), *keep, F.transform("__s", gram).alias("__s")), "scan")
-    spot = seen.where(F.size("__s") > 0).select(id_col, "__t", F.explode("__s").alias("s")).select(id_col, "__t", "s.at", "s.len", "s.gram")
-    if not few:
-        # Beyond the set's bound: every window's hash is joined with the benchmark's, as rows.
-        parts = []
-        for length, own in by_len.items():
-            every = rows.where(F.size("__h") >= length).select(id_col, "__t", F.posexplode(F.slice(_window_hashes(F.col("__h"), length), 1, F.greatest(F.size("__h") - length + 1, F.lit(0)))).alias("at", "h"))
-            parts.append(every.join(own, "h").groupBy(id_col, "__t").agg(F.collect_set("at").alias("places")).withColumn("len", F.lit(length)))
-        joined = None
-        for p in parts:
-            joined = p if joined is None else joined.unionByName(p)
-        back = rows.select(F.col(id_col).alias("__i"), F.col("__t").alias("__t2"), "__w").join(joined, F.col("__i").eqNullSafe(joined[id_col]) & (F.col("__t2") == joined["__t"]))
-        spot = back.select(id_col, "__t", "__w", "len", F.explode("places").alias("at")).select(id_col, "__t", (F.col("at") + 1).alias("at"), "len", F.array_join(F.slice("__w", F.col("at") + 1, F.col("len")), " ").alias("gram"))
-    spot = spot.distinct()
-    verified = spot.join(bench.select("item", "len", "gram"), ["len", "gram"])
-    hits = verified.groupBy(id_col, "__t").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"), F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)))).alias("places"))
-    return seen.drop("__s"), tmp.table(hits, "hits")
+    sizes = bench.groupBy("len").agg(F.sum(F.size("items")).alias("c")).orderBy("len").collect()
+    lengths, parts = [r["len"] for r in sizes], max(1, -(-sum(r["c"] for r in sizes) // most_in_scan))
+
+    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"), words_of(F.col(text_col)).alias("__w"), *(F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)))
+    kept = [f"__keep{k}" for k in range(len(keep))]
+    rows = _with_windows(rows, lengths)
+    every = F.concat(*(F.col(f"__x{k}") for k in lengths), F.array(F.lit(LAST).cast("long")))
+    rows = rows.select("__id", "__t", *kept, "__w", F.size("__w").alias("__n"), every.alias("__every"))
+    # Hashes of all lengths stand one after the other; `at` is a window's first word, from 1, if its hash is of length len.
+    many = {k: F.greatest(F.col("__n") - k + 1, F.lit(0)) for k in lengths}
+    before, offset = F.lit(0), F.lit(0)
+    for k in lengths:
+        offset = F.when(F.col("len") == k, before).otherwise(offset)
+        before = before + many[k]
+    at = F.col("__pos") - offset + 1
+    end = F.lit(LAST).cast("long")
+    found = None
+    for part in range(parts):
+        own = bench.where(F.pmod("h", F.lit(parts)) == part).select("h", "len", "gram", "items")
+        if part == 0:
+            # The end mark is a window of no words.
+            mark = docs.sparkSession.range(1).select(end.alias("h"), F.lit(0).alias("len"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("items"))
+            own = own.unionByName(mark)
+        # explode_outer: the plain one would make Spark evaluate the hashes once more in a filter.
+        windows = rows.select("__id", "__t", *kept, "__w", "__n", F.posexplode_outer("__every").alias("__pos", "__h"))
+        same = F.when(F.col("len") == 0, F.col("__pos") == before).otherwise(at.between(1, F.col("__n") - F.col("len") + 1) & (_gram(at, F.col("len")) == F.col("gram")))
+        got = windows.join(F.broadcast(own), (F.col("__h") == F.col("h")) & same).select(F.col("__id").alias(id_col), "__t", *(F.col(a).alias(c) for a, c in zip(kept, keep)), F.col("__n").cast("long").alias("n_words"), at.alias("at"), "len", "items")
+        found = got if found is None else found.unionByName(got)
+    found = tmp.table(found, "scan")
+    seen = found.where("len = 0").select(id_col, "__t", "n_words", *keep)
+    hit = found.where("len > 0").select(id_col, "__t", "at", "len", "items").distinct()
+    # Words that a window adds to those of the windows before it.
+    upto = F.max(F.col("at") + F.col("len")).over(Window.partitionBy(id_col, "__t").orderBy("at", "len").rowsBetween(Window.unboundedPreceding, -1))
+    new = hit.withColumns({"lo": F.greatest("at", F.coalesce(upto, F.lit(1))), "hi": F.col("at") + F.col("len") - 1})
+    places = F.flatten(F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.sequence("lo", "hi"))))
+    hits = new.groupBy(id_col, "__t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sort_array(places).alias("places"))
+    return seen, tmp.table(hits, "hits")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 2, **names) -> DataFrame:
@@ -120,6 +136,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = 8, mode: str = "docum
     on = mark[id_col].eqNullSafe(hits["__i"]) & (mark["__t"] == hits["__ht"])
     if mode == "documents":
         return mark.join(hits, on, "left_anti").drop("__t")
-    original = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    original = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
     cut = F.array_join(F.filter(original, lambda w, i: ~F.array_contains(F.col("places"), i + 1)), " ")
     return mark.join(hits, on, "left").withColumn(text_col, F.when(F.col("places").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)

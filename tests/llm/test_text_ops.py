@@ -405,7 +405,7 @@ def bench(spark, rows):
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog today"), (2, "short item"), (10, "quick brown fox jumps over the lazy dog"), (4, None), (5, "!!")]
 
 
-@pytest.mark.parametrize("most", [20_000, 0])
+@pytest.mark.parametrize("most", [400_000, 1])
 def test_decontamination(docs, spark, most):
     rows = [(1, "So: the QUICK brown-fox jumps over the lazy dog today, they say."), (2, "a short item, and a Short Item again"), (3, "quick brown fox jumps over the lazy cat"), (4, None), (5, "clean words only here and nothing else to see at all"), (6, "quick brown fox jumps over the lazy dog")]
     d, b = docs(rows), bench(spark, ITEMS)
