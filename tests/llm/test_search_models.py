@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from llm_samples import HARD
 from pyspark.sql import functions as F
 from test_sharding_mix import targets
@@ -13,17 +14,38 @@ from siltstone.llm import cotrain, cover_tree, queries
 SF = "/root/testdata/sf0.001"
 
 
-def test_tree_covers_and_separates():
-    x = np.floor(np.random.default_rng(0).normal(0, 60, (700, 6)))
+@pytest.mark.parametrize("n, d", [(700, 2), (700, 6), (300, 64), (1, 3), (40, 1)])
+def test_tree_covers_and_separates(n, d):
+    x = np.floor(np.random.default_rng(0).normal(0, 60, (n, d)))
     t = cover_tree.Tree(x, leaf=8)
-
-    def rows(n):
-        return t.rows[n] if t.rows[n] is not None else np.concatenate([rows(k) for k in t.kids[n]])
-
-    assert sorted(rows(0).tolist()) == list(range(700))
-    for n in range(len(t.centre)):
-        far = np.sqrt(((x[rows(n)] - x[t.centre[n]]) ** 2).sum(1)).max()
-        assert far <= t.radius[n] + 1e-6
+    assert sorted(t.order.tolist()) == list(range(n)) and (t.x == x[t.order]).all()
+    far = lambda rows, p: np.sqrt(((rows - p) ** 2).sum(1))
+    for node in range(len(t.lo)):
+        rows = t.x[t.lo[node] : t.hi[node]]
+        assert abs(far(rows, rows[0]).max() - t.radius[node]) < 1e-6
+        kids = t.below(np.array([node]))
+        if len(kids):
+            assert t.lo[kids].tolist() == [t.lo[node], *t.hi[kids][:-1]] and t.hi[kids][-1] == t.hi[node]
+            assert t.radius[kids].max() <= t.radius[node] / cover_tree.BASE + 1e-6
+            centres = t.x[t.lo[kids]]
+            assert all(far(centres[:i], centres[i]).min() > t.radius[node] / cover_tree.BASE - 1e-6 for i in range(1, len(kids)))
+        else:
+            assert len(rows) <= 8 or t.radius[node] == 0
+
+
+def test_clusters_are_pruned():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 100, (40, 64))
+    x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(0, 3, (4000, 64)))
+    ids = np.arange(4000)
+    q = ids % 50 == 0
+    search = cover_tree.Search(cover_tree.Tree(x[q]), ids[q], 5)
+    for part in (slice(0, 2000), slice(2000, 4000)):
+        search.meet(cover_tree.Tree(x[part]), ids[part])
+    s = x[q] @ x.T
+    s[ids[q][:, None] == ids] = -np.inf
+    assert (search.result()[1] == np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]).all()
+    assert search.compared < 0.15 * q.sum() * 4000 and search.bounded < 0.25 * q.sum() * 4000
 
 
 def test_dual_search_against_brute_force():
@@ -36,6 +58,10 @@ def test_dual_search_against_brute_force():
         if not len(q):
             continue
         score, got = cover_tree.dual_search(cover_tree.Tree(x[q], 8), cover_tree.Tree(x, 8), ids[q], ids, 5)
+        both = cover_tree.Search(cover_tree.Tree(x[q], 8), ids[q], 5)
+        for part in (slice(0, n // 3), slice(n // 3, n)):
+            both.meet(cover_tree.Tree(x[part], 8), ids[part])
+        assert (both.result()[1] == got).all() and (both.result()[0] == score).all()
         for r, i in enumerate(q):
             s = x @ x[i]
             order = sorted((-s[j], ids[j]) for j in range(n) if j != i)[:5]
