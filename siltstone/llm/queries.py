@@ -100,6 +100,21 @@ FROM dw LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+# Windows of 50 bytes are 100 hexadecimal digits (w); those that a smaller id has too (g) merge into runs (s).
+_OP4 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM d, unnest(range(0, n - 49)) AS r(i)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > low),
+m AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 50, true) AS head FROM g),
+r AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS upto FROM s),
+a AS (SELECT k.doc_id, sum(hi - lo) AS gone, count(*) AS spans, string_agg(substr(h, CAST(2 * upto + 1 AS BIGINT), CAST(2 * (lo - upto) AS BIGINT)), '' ORDER BY lo) || substr(any_value(h), CAST(2 * max(hi) + 1 AS BIGINT)) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 # Units are sentences (u), whole lines (l) and the shortest runs of sentences of 100 characters (r); e holds first and last sentence of each.
 _OP5 = r"""
 WITH x AS (SELECT doc_id, text, regexp_extract_all(text, '(?s).*?(?:[.!?][ \t-\r]+|[。！？][ \t-\r]*|\n[ \t-\r]*)|.+') AS p FROM documents),
@@ -149,4 +164,4 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_text_density": _OP2, "op5_line_hashing": _OP5, "op6_cover_trees": _OP6, "op7_pareto_mix": _OP7, "op8_minhash_join": _OP8, "op9_decontaminate": _OP9}
+    return {"op2_text_density": _OP2, "op4_suffix_arrays": _OP4, "op5_line_hashing": _OP5, "op6_cover_trees": _OP6, "op7_pareto_mix": _OP7, "op8_minhash_join": _OP8, "op9_decontaminate": _OP9}

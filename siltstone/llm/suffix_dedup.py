@@ -15,8 +15,11 @@ among its grams, so two equal windows pick the same gram at the same place:
    prefix of `length` are equal windows; all but those of the first document go.
 4. Each document takes the union of its windows out of its bytes.
 
-A gram with very many different segments (the rim of a passage that a third of
-the corpus quotes) is dealt by window instead: equal windows still meet.
+A gram that very many documents have (of a passage that a third of the corpus
+quotes) is dealt by segment, after each task has settled its own copies, and
+its first copies by window: equal segments and equal windows still meet. Which
+grams those are a sample of documents tells; it decides how rows are dealt,
+not what is removed.
 """
 
 from __future__ import annotations
@@ -37,6 +40,10 @@ GRAM = 16
 RUN_BYTES = 3 << 20
 #: Segments of one gram beyond which its windows are dealt singly.
 MANY = 20_000
+#: One document in SAMPLE is asked for grams that one in COMMON of them have.
+SAMPLE, COMMON = 64, 200
+#: Marks of a posting: of a common gram; settled, as an earlier document of its task has the same segment.
+HOT, SETTLED = 1 << 61, 1 << 62
 _U = np.uint64
 
 
@@ -220,21 +227,50 @@ def _unpack(p: np.ndarray):
     return p >> 30, (p >> 24) & 63, p & 0xFFFFFF
 
 
-def _post(length: int):
+def _common(docs: DataFrame, length: int) -> np.ndarray:
+    """Hashes of grams that many documents have, by a sample: at most COMMON times as many as a document has grams."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, data, off in tk.pieces(b.column(1)):
+                h, r, *_ = pick(data, off, length)
+                ids = b.column(0).to_numpy(zero_copy_only=False)[i:j][r].astype("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(ids)], names=["h", "doc"])
+
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0)
+    least = max(20, sample.count() // COMMON)
+    rows = sample.mapInArrow(run, "h long, doc long").distinct().groupBy("h").count().where(F.col("count") >= least).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], "int64").view(_U))
+
+
+def _post(length: int, hot: np.ndarray):
     def run(batches):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, off in tk.pieces(b.column(1)):
                 h, r, s, c, seg = pick(data, off, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(seg.view("int64")), pa.array(ids[i:j][r].astype("int64")), pa.array(_pack(s, c, _mark(data, off)[r]))], names=["h", "seg", "doc", "place"])
+                doc, place = ids[i:j][r].astype("int64"), _pack(s, c, _mark(data, off)[r])
+                if len(hot):
+                    at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+                    key = tk.mix(h[at] ^ (seg[at] * _U(0x9E3779B97F4A7C15)))
+                    order = np.lexsort((doc[at], seg[at], key))
+                    at, key = at[order], key[order]
+                    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (seg[at][1:] != seg[at][:-1])])) if len(at) else at
+                    settled = doc[at] > np.repeat(doc[at][head], np.diff(np.append(head, len(at))))
+                    place[at] |= np.where(settled, HOT | SETTLED, HOT)
+                    h[at] = np.where(settled, tk.mix(doc[at].astype(_U) ^ (place[at].astype(_U) << _U(7))), key)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(seg.view("int64")), pa.array(doc), pa.array(place)], names=["h", "seg", "doc", "place"])
 
     return run
 
 
+NAMES = ["h", "doc", "place", "later", "hot"]
+
+
 def _shared():
-    """Rows sorted by (h, seg, doc) -> (h, doc, place, later) of grams that two documents have; later: an earlier document has the same segment.
+    """Rows sorted by (h, seg, doc) -> (h, doc, place, later, hot) of grams that two documents have; later: an earlier document has the same segment.
 
-    Rows of a gram wait only while they are of one document."""
+    Rows of a gram wait only while they are of one document. Those of common grams, marked in place, are known to be shared."""
 
     def run(batches):
         held = None  # rows of the last gram, so far of one document
@@ -246,11 +282,17 @@ def _shared():
             if held is not None:
                 h, seg, doc, place = (np.concatenate([x, y]) for x, y in zip(held, (h, seg, doc, place)))
                 held = None
+            settled = (place & SETTLED) != 0
+            if settled.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[settled]), pa.array(doc[settled]), pa.array(place[settled] & ~(HOT | SETTLED)), pa.array(np.ones(settled.sum(), bool)), pa.array(np.ones(settled.sum(), bool))], names=NAMES)
+                h, seg, doc, place = (x[~settled] for x in (h, seg, doc, place))
+                if not len(h):
+                    continue
             new = np.concatenate([[True], h[1:] != h[:-1]])
             head = np.flatnonzero(new)
             size = np.diff(np.append(head, len(h)))
             lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-            both = lo != hi
+            both = (lo != hi) | np.logical_or.reduceat((place & HOT) != 0, head)
             if last[0] is not None and h[0] == last[0]:
                 both[0] = True
             if not both[-1]:
@@ -265,7 +307,7 @@ def _shared():
             rep_row = np.repeat(rep, np.diff(np.append(starts, len(h))))
             last = (h[-1], seg[-1], rep[-1]) if both[-1] else (None, None, None)
             later = doc > rep_row
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(place[keep]), pa.array(later[keep])], names=["h", "doc", "place", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(place[keep] & ~HOT), pa.array(later[keep]), pa.array((place[keep] & HOT) != 0)], names=NAMES)
 
     return run
 
@@ -385,14 +427,16 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.where("id IS NOT NULL AND text IS NOT NULL")
-    posts = known.mapInArrow(_post(length), "h long, seg long, doc long, place long")
-    shared = posts.repartition("h").sortWithinPartitions("h", "seg", "doc").mapInArrow(_shared(), "h long, doc long, place long, later boolean")
+    posts = known.mapInArrow(_post(length, _common(known, length)), "h long, seg long, doc long, place long")
+    shared = posts.repartition("h").sortWithinPartitions("h", "seg", "doc").mapInArrow(_shared(), "h long, doc long, place long, later boolean, hot boolean")
     shared = tmp.table(shared, "shared")
     freed(spark)
-    asked = shared.where(~F.col("later"))
-    hot = tmp.table(asked.groupBy("h").count().where(F.col("count") > MANY).select("h", F.lit(True).alias("hot")), "hot")
-    asked = asked.join(hot, "h", "left") if hot.limit(1).count() else asked.withColumn("hot", F.lit(False))
-    asks = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asks"))
+    asked = shared.where("NOT later")
+    # Common grams that the sample didn't show: many first copies of different segments.
+    many = tmp.table(asked.where("NOT hot").groupBy("h").count().where(F.col("count") > MANY).select("h", F.lit(True).alias("many")), "many")
+    if many.limit(1).count():
+        asked = asked.join(many, "h", "left").withColumn("hot", F.col("hot") | F.coalesce("many", F.lit(False)))
+    asks = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "hot")).alias("asks"))
     pieces = known.join(asks, known["id"] == asks["doc"]).select("doc", "text", "asks").mapInArrow(_segments(length), "key long, doc long, place long, piece binary")
     found = tmp.table(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc long, place long"), "found")
     freed(spark)

@@ -234,14 +234,19 @@ def brute_repeats(rows, n=50):
 def repeat_rows():
     base = prose(1, 80)
     rows = [(0, base), (1, base), (2, base[30:300] + prose(2, 10) + base[200:260]), (3, "x" * 49), (4, "x" * 49), (5, "x" * 200), (6, "x" * 120), (7, "ab" * 80), (8, "ba" * 80), (9, None), (10, "é" * 40), (11, "é" * 30 + "z")]
+    common = prose(77, 30)
+    rows += [(60 + i, prose(300 + i, 8) + " " + common + " " + prose(400 + i, 8)) for i in range(30)]
     return rows + [(20 + i, prose(100 + i, 20) + " " + base[i : i + 120] + " " + prose(200 + i, 20)) for i in range(30)]
 
 
-@pytest.mark.parametrize("many", [20_000, 3])
-def test_suffix_arrays_against_brute_force(docs, monkeypatch, many):
+@pytest.mark.parametrize("many, sample", [(20_000, 64), (3, 64), (20_000, 1)])
+def test_suffix_arrays_against_brute_force(docs, monkeypatch, many, sample):
     monkeypatch.setattr(suffix_dedup, "MANY", many)  # 3: windows of common grams are dealt singly
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)  # 1: the sample shows the common passage of 30 documents
     rows = repeat_rows()
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs(rows)).collect()}
+    d = docs(rows)
+    assert (len(suffix_dedup._common(d.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL"), 50)) > 0) == (sample == 1)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(d).collect()}
     assert got == brute_repeats(rows)
 
 
