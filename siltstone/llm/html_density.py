@@ -32,8 +32,11 @@ CHROME = frozenset("nav footer aside form script style noscript iframe template
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 #: Whole tokens of class and id that name boilerplate.
 NAMES = re.compile(r"(?<!\S)(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|footer|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|comments?|comment-?list|respond|replies|disqus|related|recommend\w*|widget|pagination|pager|toolbar|masthead|skip-?link)(?!\S)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: The same for the rest of a page in which a quotation mark has no partner: a tag ends at the first >.
+LOOSE = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+MARK = re.compile(r"<(?=[!?/a-zA-Z])")
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 #: End tags of raw elements; a lower-cased copy of the page may have other offsets.
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
@@ -47,27 +50,27 @@ class Node:
         self.kids: list = []
 
 
-def _is_chrome(tag: str, attrs: str, inside_article: bool) -> bool:
+def _attributes(attrs: str) -> list[tuple[str, str]]:
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs)]
+
+
+def _is_chrome(tag: str, attrs: list[tuple[str, str]], inside_article: bool) -> bool:
     if tag in CHROME:
         return True
     if tag == "header":
         return not inside_article
-    if not attrs or tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "article", "main"):
         return False
-    for m in ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role":
-            if value.lower() in ROLES:
-                return True
-        elif name == "aria-hidden" and value.lower() == "true":
+    for name, value in attrs:
+        if name == "hidden" or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|/)", attrs))
+    return False
 
 
-def _is_named(tag: str, attrs: str) -> bool:
-    return bool(attrs) and tag not in ("body", "html", "article", "main") and any(m[1].lower() in ("class", "id") and NAMES.search(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(attrs))
+def _is_named(tag: str, attrs: list[tuple[str, str]]) -> bool:
+    return tag not in ("body", "html", "article", "main") and any(name in ("class", "id") and NAMES.search(value) for name, value in attrs)
 
 
 def _drop_named(root: Node) -> None:
@@ -92,75 +95,117 @@ def _drop_named(root: Node) -> None:
         n.chrome = 2 * n.text <= root.text or root.marked and id(n) not in dense
 
 
+def _tokens(page: str):
+    """Matches of markup in page order, told by send() where to go on. Takes time in proportion to the page."""
+    at, tokens = 0, TOKEN
+    while True:
+        start = MARK.search(page, at)
+        if not start or page.find(">", start.end()) < 0:
+            return
+        m = tokens.match(page, start.start())
+        if not m and tokens is TOKEN and page[start.end()].isalpha():
+            tokens = LOOSE
+            m = tokens.match(page, start.start())
+        at = start.end() if not m else (yield m)
+
+
+class _Open:
+    """The open elements, and where in them each kind of element stands."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks, self.walls = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCK:
+            self.blocks.append(k)
+        if node.tag in WALLS:
+            self.walls.append(k)
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.blocks, self.walls):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def last(self, tags) -> int:
+        """The innermost open element of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+#: Elements beyond which the end tag of an inline element closes nothing.
+WALLS = ("article", "body", "td", "th", "table")
+
+
 def parse(page: str) -> Node:
     """The tree of a page: nodes hold nodes and strings in page order. Tolerates unclosed and stray tags."""
     root = Node("html", None)
-    open_ = [root]
-    at, articles = 0, 0
-    for m in iter(lambda: TOKEN.search(page, at), None):
+    open_ = _Open(root)
+    at, tokens = 0, _tokens(page)
+    m = next(tokens, None)
+    while m:
         if m.start() > at:
-            open_[-1].kids.append(page[at : m.start()])
+            open_.nodes[-1].kids.append(page[at : m.start()])
         at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "br" or tag == "p" and not any(n.tag == "p" for n in open_):
-                continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    articles -= sum(n.tag == "article" for n in open_[i:])
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("article", "body", "td", "th", "table") and tag not in BLOCK:
-                    break
-            continue
-        attrs = m[3]
-        if tag in ("html", "head"):
-            continue
-        if tag == "body":
-            if not any(n.tag == "body" for n in open_):
-                del open_[1:]
-                node = Node("body", root)
-                root.kids.append(node)
-                open_.append(node)
-            continue
-        if tag in ENDS_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].tag in BLOCK:
-                    break
-        if tag in CLOSES:
-            which, stop = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in which:
-                    del open_[i:]
-                    if tag not in ("tbody", "tfoot", "thead", "tr"):
-                        break
-                elif open_[i].tag in stop:
-                    break
-        node = Node(tag, open_[-1], _is_chrome(tag, attrs, articles > 0), _is_named(tag, attrs))
-        open_[-1].kids.append(node)
-        if tag in RAW:
-            end = RAW_END[tag].search(page, at)
-            node.chrome = True
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else len(page)
-        elif tag not in VOID and not attrs.endswith("/"):
-            open_.append(node)
-            articles += tag == "article"
+        if m[2] is not None:
+            at = _tag(page, open_, m[2].lower(), bool(m[1]), m[3], at)
+        try:
+            m = tokens.send(at)
+        except StopIteration:
+            break
     tail = page[at:]
     if tail:
         # A tag that the end of the page cuts off is no text.
-        cut = re.search(r"<[a-zA-Z/!][^>]*$", tail)
-        open_[-1].kids.append(tail[: cut.start()] if cut else tail)
+        cut = re.search(r"<[a-zA-Z/!][^<>]*$", tail)
+        open_.nodes[-1].kids.append(tail[: cut.start()] if cut else tail)
     _drop_named(root)
     return root
 
 
+def _tag(page: str, open_: _Open, tag: str, ends: bool, attrs: str, at: int) -> int:
+    """Takes a tag in; returns where the page goes on."""
+    root = open_.nodes[0]
+    if ends:
+        k = open_.last((tag,))
+        if k and tag != "br" and (tag in BLOCK or not open_.walls or open_.walls[-1] <= k):
+            open_.cut(k)
+        return at
+    if tag in ("html", "head"):
+        return at
+    if tag == "body":
+        if not open_.last(("body",)):
+            open_.cut(1)
+            node = Node("body", root)
+            root.kids.append(node)
+            open_.push(node)
+        return at
+    if tag in ENDS_P and open_.blocks and open_.nodes[open_.blocks[-1]].tag == "p":
+        open_.cut(open_.blocks[-1])
+    if tag in CLOSES:
+        which, stop = CLOSES[tag]
+        k, wall = open_.last(which), open_.last(stop)
+        while k > wall:
+            open_.cut(k)
+            if tag not in ("tbody", "tfoot", "thead", "tr"):
+                break
+            k = open_.last(which)
+    pairs = _attributes(attrs) if attrs else []
+    node = Node(tag, open_.nodes[-1], _is_chrome(tag, pairs, bool(open_.last(("article",)))), _is_named(tag, pairs))
+    open_.nodes[-1].kids.append(node)
+    if tag in RAW:
+        end = RAW_END[tag].search(page, at)
+        node.chrome = True
+        close = page.find(">", end.start()) if end else -1
+        return close + 1 if close >= 0 else len(page)
+    if tag not in VOID and not attrs.endswith("/"):
+        open_.push(node)
+    return at
+
+
 def _order(root: Node) -> list[Node]:
     """Nodes that are not boilerplate, parents before children."""
     out, stack = [], [root]
@@ -246,7 +291,11 @@ def main_text(page: str | None) -> str:
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """df without html, with the main text and its length in code points. A row for each row; columns named like the outputs are replaced."""
+    """df without html, with the main text and its length in code points: a row for each row, also for repeated ones.
+
+    A null or empty page and one without text give '' and 0; a page of any
+    length and nesting takes time and memory in proportion to it. An empty
+    table gives no rows. Columns named like the outputs (in any case) are replaced."""
     keep = [c for c in df.columns if c.lower() not in (html_col.lower(), text_col.lower(), chars_col.lower())]
     src = df.select(*keep, html_col)
     schema = StructType([f for f in src.schema.fields if f.name != html_col]).add(text_col, "string").add(chars_col, "long")

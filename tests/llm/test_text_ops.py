@@ -86,6 +86,30 @@ def test_extract_table(spark):
     assert sorted(r["n_chars"] for r in rows) == [0, 1, 199_999] and html_density.extract(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p title="the hidden truth">shown</p><p class="md hidden lg">shown too</p><p hidden>not shown</p>', "shown\nshown too"),
+        ("<div class='social-science'><article><p>kept text</p></article></div>", "kept text"),
+        ("<p>a <i>b</i> <a href='x>c</a> d</p><p>e</p>", "a b c d\ne"),
+        ("<p>5 < 6 and 7 > 6</p>", "5 < 6 and 7 > 6"),
+        ("<table><tr><td>a<td>b<tr><td>c</table><ul><li>x<li>y<ul><li>z</ul></ul>", "a\nb\nc\nx\ny\nz"),
+        ("<article><span><table><tr><td><b>x</span></b></td></tr></table></article>", "x"),
+    ],
+)
+def test_marks_and_names(page, want):
+    assert html_density.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a '" * 40_000, "<a '" * 40_000 + "'>'>", "<div>" * 40_000 + "</span>" * 40_000, "<span><table><td>" + "<div>" * 40_000 + "</span>" * 40_000, "<ul>" + "<li><i>" * 40_000, "<p>" + "<b>" * 40_000 + "<br>" * 40_000 + "</p>" * 10, "<" * 200_000, "<!--" * 40_000, "<script>" * 40_000, "<td><tr>" * 30_000, '<a href="' * 40_000 + ">" * 10])
+def test_hostile_pages_take_no_long_time(page):
+    import time
+
+    begin = time.time()
+    html_density.main_text(page)
+    assert time.time() - begin < 3
+
+
 def test_deep_nesting():
     assert html_density.main_text("<div>" * 20_000 + "text" + "</div>" * 20_000) == "text"
 
