@@ -8,7 +8,21 @@ UPLOADED_HTML_DIR = "/_upload/article/files/"
 ASSET_EXTENSIONS = ("7z", "avi", "bmp", "caj", "csv", "doc", "docx", "dps", "epub", "et", "gif", "gz", "jpeg", "jpg", "key", "md", "mp3", "mp4", "numbers", "odp", "ods", "odt", "pages", "pdf", "png", "pps", "ppsx", "ppt", "pptx", "rar", "rtf", "svg", "tar", "tex", "tgz", "tif", "tiff", "txt", "webp", "wps", "xls", "xlsx", "xml", "zip")
 #: First bytes of binary payloads, in hex.
 BINARY_SIGNATURES = ("255044462D", "504B0304", "D0CF11E0A1B11AE1", "526172211A07", "377ABCAF271C", "89504E470D0A1A0A", "474946383761", "474946383961", "FFD8FF")
-SESSION_KEYS = ("jsessionid", "sessionid", "sid", "token")
+#: Why a URL isn't worth a request: reason, pattern of its path, pattern of its query (both in lower case).
+LOW_VALUE = (
+    ("logout endpoint", r"/logout(?:/|$)", None),
+    ("search endpoint", r"/search(?:/|$)", None),
+    ("search endpoint", None, r"[?]search="),
+    ("sorted/paginated author listing variant", r"/author/detail/", r"(?:pageindex|pagesize|showtype|orderby)="),
+    ("sorted/paginated duplicate variant", r"/(?:list|search|detail)", r"(?:orderby|showtype|pagesize)="),
+    ("personal/statistics endpoint", r"gradebook|submission_history|/stats/|/statistics/", None),
+    ("interactive login page", r"/webapps/login$|/(?:login|logon|signin|sign[-_]?in)(?:/|$)", None),
+    ("duplicate Indico event variant", r"^(?=.*/event/).*(?:/event[.]ics$|/manage/|/author/)", None),
+    ("duplicate Indico event variant", r"/event/", r"(?:print|view|showtimezone)="),
+    ("duplicate Indico calendar variant", r"^(?=.*/category/).*/(?:calendar|closest|upcoming|previous|statistics|search)$", None),
+    ("duplicate Indico calendar variant", r"^(?=.*/category/).*/overview", r"(?:date|period|detail)="),
+    ("session-specific URL", None, r"(?:^|&)(?:jsessionid|sessionid|sid|token)(?:=|&|$)"),
+)
 DOWNLOAD_ENDINGS = ("/download", "/download/", "/download.jsp", "/download.aspx")
 DOWNLOAD_KEYS = ("attachment", "fileid", "wbfileid", "urltype", "download")
 

@@ -91,12 +91,12 @@ def extract(url: str, page: str | None, source_id: str = "") -> dict:
     }
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", source_col: str | None = None, most_bytes: int = 8 << 20) -> DataFrame:
-    """PAGE_SCHEMA for every page; pages over most_bytes and null ones yield no article. Reads only the columns it needs."""
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", source_col: str | None = None) -> DataFrame:
+    """PAGE_SCHEMA for every page, whatever its size; null ones yield no article. Reads only the columns it needs."""
     from pyspark.sql import functions as F
 
     src = F.col(source_col) if source_col else F.lit("")
-    rows = pages.select(F.col(url_col).alias("url"), F.when(F.octet_length(html_col) <= most_bytes, F.col(html_col)).alias("html"), src.alias("source"))
+    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), src.alias("source"))
 
     def run(batches):
         for pdf in batches:
