@@ -31,7 +31,7 @@ def relinked_media(media: DataFrame, bridge: DataFrame, bundles: DataFrame) -> t
 
 def trimmed(bridge: DataFrame, articles: DataFrame, caps: DataFrame) -> DataFrame:
     """Bridge rows within their source's cap of images for an article (caps: id, cap); sources without one keep all."""
-    capped = bridge.join(articles.select("doc_id", "source_id"), "doc_id").join(F.broadcast(caps), F.col("source_id") == F.col("id"), "left")
+    capped = bridge.join(articles.select("doc_id", "source_id"), "doc_id").join(caps, F.col("source_id") == F.col("id"), "left")
     over = upsert.trim_excess(capped.where("cap IS NOT NULL"), "doc_id", F.col("cap"), ["created_at", "image_url"]).select("doc_id", "image_url")
     return bridge.join(over, ["doc_id", "image_url"], "left_anti")
 

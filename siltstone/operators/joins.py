@@ -31,17 +31,24 @@ def aliases(*cols: str) -> Column:
 
 def alias_semi(left: DataFrame, right: DataFrame, alias_cols: tuple[str, ...], key: str = "url") -> DataFrame:
     """Rows of left any of whose alias columns is a key of right."""
-    keyed = left.withColumn("__row", F.col(alias_cols[0])).select("__row", F.explode(aliases(*alias_cols)).alias("__a"))
-    hits = keyed.join(right.select(F.col(key).alias("__a")), "__a", "left_semi").select("__row").distinct()
-    return left.join(hits, left[alias_cols[0]] == hits["__row"], "left_semi")
+    keyed = left.select(*alias_cols).distinct().withColumn("__a", F.explode(aliases(*alias_cols)))
+    hits = keyed.join(right.select(F.col(key).alias("__a")), "__a", "left_semi").select(*(F.col(c).alias(f"__{c}") for c in alias_cols)).distinct()
+    return left.join(hits, _same_aliases(alias_cols), "left_semi")
+
+
+def _same_aliases(cols: tuple[str, ...]) -> list[Column]:
+    """All alias columns together name a row; any of them may be null."""
+    return [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cols]
 
 
 def alias_lookup(left: DataFrame, right: DataFrame, alias_cols: tuple[str, ...], key: str, value: str, out: str) -> DataFrame:
     """left with the value of the first alias (in the order given) that right knows and whose value isn't empty."""
-    keyed = left.select(F.col(alias_cols[0]).alias("__row"), F.posexplode(aliases(*alias_cols)).alias("__rank", "__a"))
+    rows = [F.col(c).alias(f"__{c}") for c in alias_cols]
+    keyed = left.select(*alias_cols).distinct().select(*rows, F.posexplode(aliases(*alias_cols)).alias("__rank", "__a"))
     found = keyed.join(right.where(F.col(value).isNotNull() & (F.col(value).cast("string") != "")).select(F.col(key).alias("__a"), F.col(value).alias("__v")), "__a")
-    best = found.groupBy("__row").agg(F.min(F.struct("__rank", "__v"))["__v"].alias(out))
-    return left.join(best, left[alias_cols[0]] == best["__row"], "left").drop("__row")
+    names = [f"__{c}" for c in alias_cols]
+    best = found.groupBy(*names).agg(F.min(F.struct("__rank", "__v"))["__v"].alias(out))
+    return left.join(best, _same_aliases(alias_cols), "left").drop(*names)
 
 
 def violations(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

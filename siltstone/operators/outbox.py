@@ -58,11 +58,15 @@ def settle(items: DataFrame) -> DataFrame:
 def object_plan(objects: DataFrame, chunk: int = 100) -> tuple[DataFrame, DataFrame]:
     """(objects by kind and digest in chunks of requests, digests recorded with several sizes).
 
-    Chunks are counted within a kind and digest prefix, so no task orders them all."""
+    Chunks count objects in the order of kind and digest. Ranks are taken within a kind and digest prefix and shifted by the
+    number of objects before it, so no task orders them all; there are 256 prefixes for each kind."""
     one = objects.groupBy("kind", "sha256").agg(F.min("size").alias("size"), F.count_distinct("size").alias("sizes"))
-    prefix = F.substr("sha256", F.lit(1), F.lit(1))
-    w = Window.partitionBy("kind", prefix).orderBy("sha256")
-    return one.where("sizes = 1").withColumn("chunk", F.concat_ws("-", prefix, F.floor((F.row_number().over(w) - 1) / chunk))).select("kind", "sha256", "size", "chunk"), one.where("sizes > 1").select("kind", "sha256", "sizes")
+    sure = one.where("sizes = 1").withColumn("prefix", F.substr("sha256", F.lit(1), F.lit(2)))
+    before = Window.orderBy("kind", "prefix").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sure.groupBy("kind", "prefix").agg(F.count("*").alias("n")).select("kind", "prefix", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("kind", "prefix").orderBy("sha256"))
+    ranked = sure.join(sums, ["kind", "prefix"]).withColumn("chunk", F.floor((F.col("before") + rank - 1) / chunk))
+    return ranked.select("kind", "sha256", "size", "chunk"), one.where("sizes > 1").select("kind", "sha256", "sizes")
 
 
 def broken_payloads(events: DataFrame) -> DataFrame:

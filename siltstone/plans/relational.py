@@ -60,9 +60,8 @@ def visible_news(sources: DataFrame, articles: DataFrame, pages: DataFrame, text
     s = sources.where(~F.col("discovery_only")).select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     a = articles.where(F.col("source_id") == source_id) if source_id else articles
     if text:
-        like = F.lit(f"%{text}%")
-        a = a.where(F.col("title").ilike(f"%{text}%") | F.col("summary").ilike(f"%{text}%") | F.col("body_text").ilike(f"%{text}%")) if like is not None else a
-    rows = a.join(F.broadcast(s), "source_id").withColumn("__page", F.coalesce(F.nullif("source_page_url", F.lit("")), "url")).join(p, F.col("__page") == F.col("p_url"), "left")
+        a = a.where(F.col("title").ilike(f"%{text}%") | F.col("summary").ilike(f"%{text}%") | F.col("body_text").ilike(f"%{text}%"))
+    rows = a.join(s, "source_id").withColumn("__page", F.coalesce(F.nullif("source_page_url", F.lit("")), "url")).join(p, F.col("__page") == F.col("p_url"), "left")
     rows = rows.where(F.col("p_url").isNull() | (F.col("page_kind").isin(*rules.PUBLIC_KINDS) & (F.coalesce("duplicate_of", F.lit("")) == "")))
     rows = rows.withColumn("publication_type", classify.publication_type(page_url=F.col("url"), source_id=F.col("source_id"), title=F.col("title"), category=F.col("category"), page_kind=F.col("page_kind"), other_urls=(F.col("source_page_url"), F.col("p_url"), F.col("final_url"), F.col("canonical_url")), stored=F.col("publication_type")))
     rows = dedup.visible_once(rows)
@@ -94,7 +93,7 @@ def search_articles(sources, articles, pages):
   LEFT JOIN media d ON d.url = m.image_url WHERE NOT s.discovery_only""")
 def article_detail(sources, articles, article_media, media):
     m = article_media.join(media.select(F.col("url").alias("image_url"), "mime_type", "status"), "image_url", "left")
-    return articles.join(F.broadcast(sources.where(~F.col("discovery_only"))), articles["source_id"] == sources["id"]).join(m, "doc_id").select("url", F.col("name").alias("source_name"), "image_url", "alt", "mime_type", "status")
+    return articles.join(sources.where(~F.col("discovery_only")), articles["source_id"] == sources["id"]).join(m, "doc_id").select("url", F.col("name").alias("source_name"), "image_url", "alt", "mime_type", "status")
 
 
 @query("summary_counts", "sources", "frontier", "pages", "articles", "media", "article_media", sql=f"""SELECT (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM frontier) AS frontier, (SELECT count(*) FROM frontier WHERE status = 'pending') AS pending, (SELECT count(*) FROM frontier WHERE status = 'filtered') AS filtered,
@@ -253,8 +252,10 @@ def page_sample_per_source(pages):
 def host_routing(pages):
     hosts = pages.select(U.host(F.col("url")).alias("host")).distinct()
     suffix = hosts.select(F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1).alias("id")).union(hosts.where(F.length("host") % 3 == 0)).distinct().where(~F.col("id").startswith("m."))
-    blocked = hosts.where(F.col("host").startswith("www.")).agg(F.collect_list("host").alias("b"))
-    sources = suffix.join(F.broadcast(blocked)).select("id", F.array("id").alias("allowed_hosts"), F.when(F.col("id") == "example.org", F.col("b")).otherwise(F.array().cast("array<string>")).alias("blocked_hosts"))
+    none = F.array().cast("array<string>")
+    allowed = suffix.select("id", F.array("id").alias("allowed_hosts"), none.alias("blocked_hosts"))
+    blocked = hosts.where(F.col("host").startswith("www.")).select(F.lit("example.org").alias("id"), none.alias("allowed_hosts"), F.array("host").alias("blocked_hosts"))
+    sources = allowed.unionByName(blocked)  # a source may have several rows
     return joins.route_hosts(pages, sources).select("page_id", "owner")
 
 
@@ -541,10 +542,10 @@ def batch_pack(o):
     return outbox.plan_batches(o, items=10, most_bytes=100_000)
 
 
-@query("object_plan", "pages", sql="SELECT kind, sha256, size FROM (SELECT page_kind AS kind, sha256, min(length(body_text)) AS size, count(DISTINCT length(body_text)) AS c FROM pages GROUP BY 1, 2) x WHERE c = 1")
+@query("object_plan", "pages", sql="SELECT kind, sha256, size, (row_number() OVER (ORDER BY kind, sha256) - 1) // 100 AS chunk FROM (SELECT page_kind AS kind, sha256, min(length(body_text)) AS size, count(DISTINCT length(body_text)) AS c FROM pages GROUP BY 1, 2) x WHERE c = 1")
 def object_plan(pages):
     plan, _ = outbox.object_plan(pages.select(F.col("page_kind").alias("kind"), "sha256", F.char_length("body_text").alias("size")))
-    return plan.select("kind", "sha256", "size")
+    return plan.select("kind", "sha256", "size", "chunk")
 
 
 @query("payload_integrity", "outbox", sql="SELECT event_id FROM (SELECT event_id, payload, CASE WHEN event_id LIKE '%7' THEN 'x' ELSE sha256(payload) END AS d FROM outbox) x WHERE sha256(payload) <> d")
