@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,7 +39,7 @@ def excerpt(col: Column, most: int) -> Column:
 def word_excerpt(col: Column, most: int) -> Column:
     """Cut at the last space if at least half of the text stays."""
     cut = F.left(col, F.lit(most))
-    at_word = F.regexp_replace(cut, r"\s+\S*$", "")
+    at_word = F.regexp_replace(cut, r"\s+\S*\z", "")
     return F.when(F.char_length(col) <= most, col).when(F.char_length(at_word) * 2 >= most, F.concat(at_word, F.lit("…"))).otherwise(F.concat(cut, F.lit("…")))
 
 
@@ -73,6 +74,68 @@ def attribution(col: Column) -> Column:
     return F.struct(*(F.nullif(label_value(tail, *names), F.lit("")).alias(role) for role, names in LABELS.items()))
 
 
+#: What cleans and rejects the value of a signature.
+SIGNATURE_CUT = r"\s*(?:发布时间|发布日期|更新时间|修改时间|(?:点击|浏览|访问)(?:量|次数)?)\s*[:：].*$"
+SIGNATURE_TAIL = r"(?:[/／][文图摄编]|摄影?)$"
+NO_SIGNATURE = (r"(?i)^(?:https?://|www\.)", r"^(?:通讯员|编辑|记者|作者)$", r"^20[0-9]{2}[/.-][0-9]{1,2}[/.-][0-9]{1,2}(?:\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?$", r"受[^，。；;]{0,30}资助")
+#: Where a name ends, and what stands before it for each role; of several matches the last one counts.
+NAME = r"([^（）()\[\]\n，,。；;|｜、：\"'“”‘’「」『』《》\s0-9]+)"
+NAME_ENDS = r"(?=来源|记者|编辑|作者|文/|图片|摄影|摄像|日期|时间|http|www|原文|链接|发布|责任编辑|剪辑|审核|校对|素材|文章|通讯员|[0-9]{4}|[0-9]{1,2}:[0-9]{2}|$|[（）()\[\]\n，,。；;|｜、：\"'“”‘’「」『』《》\s])"
+ROLES = {
+    "reporter": (r"记者\s*[:：]\s*", r"(?:本报|本网|本刊|本站|央视)?记者\s+"),
+    "author": (r"作者\s*[:：]\s*", r"(?<!论)文\s*[:：/]\s*"),
+    "editor": (r"(?:责任)?编辑\s*[:：]\s*",),
+    "publisher": (r"(?<!素材|文章|资金)来源\s*[:：]\s*",),
+}
+UNIT_WORDS = "部|院|系|所|室|中心|实验室|办公室|委员会|工会|团委|党委|党组|报|社|网|台|刊|杂志|出版社|通讯社|媒体"
+
+
+def signature(value: Column) -> Column:
+    """A signature's value without labels that follow it and role marks at its end; '' for what can't be a name."""
+    v = F.trim(F.regexp_replace(collapse(value), SIGNATURE_CUT, ""))
+    fits = F.char_length(v).between(2, 120) & ~v.rlike(NO_SIGNATURE[0])
+    w = F.trim(F.regexp_replace(v, SIGNATURE_TAIL, ""))
+    wrong = F.char_length(w) < 2
+    for pattern in NO_SIGNATURE[1:]:
+        wrong = wrong | w.rlike(pattern)
+    return F.when(fits & ~wrong, w).otherwise("")
+
+
+def signatures(body: Column) -> Column:
+    """author, reporter, editor and publisher of the signatures at the end of a text (its last 800 characters).
+
+    Each role has labels in order of precedence; a unit named in brackets at the very end is the publisher if no label names one."""
+    tail = F.right(F.coalesce(body, F.lit("")), F.lit(800))
+
+    def last(label: str) -> Column:
+        found = F.regexp_extract_all(tail, F.lit(label + NAME + NAME_ENDS), F.lit(1))
+        return signature(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+
+    out = {role: F.coalesce(*(F.nullif(last(x), F.lit("")) for x in labels), F.lit("")) for role, labels in ROLES.items()}
+    unit = signature(F.regexp_extract(F.rtrim(tail), r"[（(]([^)）]{2,30})[）)]\s*$", 1))
+    out["publisher"] = F.when(out["publisher"] != "", out["publisher"]).when(unit.rlike(UNIT_WORDS), unit).otherwise("")
+    return F.struct(*(out[r].alias(r) for r in ("author", "reporter", "editor", "publisher")))
+
+
+#: What the end of a body has in common with a page's frame.
+SHELL_MARKS = ("版权所有", "Copyright", "All Rights Reserved", "技术支持")
+
+
+def shell_end(body: Column) -> Column:
+    """Whether the last 1,000 characters hold what belongs to the page's frame."""
+    tail, out = F.right(F.coalesce(body, F.lit("")), F.lit(1000)), F.lit(False)
+    for mark in SHELL_MARKS:
+        out = out | tail.contains(mark)
+    return out
+
+
+def escaped(col: Column) -> Column:
+    """Text for display in HTML."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        col = F.replace(col, F.lit(mark), F.lit(name))
+    return col
+
+
 def secret_free_url_digest(col: Column) -> Column:
     return F.sha2(col, 256)
 
@@ -130,29 +193,26 @@ def tombstone_hash(url: Column, content: Column, last_seen: Column) -> Column:
     return F.sha2(F.concat(F.lit('{"content_hash":'), inner(content), F.lit(',"last_seen":'), inner(last_seen), F.lit(',"tombstone":true,"url":'), inner(url), F.lit("}")), 256)
 
 
+CHARSET = re.compile(rb"charset\s*=\s*['\"]?([\w-]+)", re.I)
+
+
+def _reading(body: bytes, name: str) -> str | None:
+    try:
+        return body.decode(name)
+    except (LookupError, UnicodeDecodeError):
+        return None
+
+
 def decode_body(body: bytes | None, header: str | None = None) -> str:
-    """Text of a response: each strict decoding is scored by its CJK characters less its replacement and mojibake marks."""
+    """Text of a response, whose header may name a charset: of all strict readings the one of the most Chinese characters,
+    then the least replacement marks, then the least signs of a wrong reading; the page's own charset and UTF-8 win ties."""
     if not body:
         return ""
-    head = body[:2048].decode("latin-1").lower()
-    named = []
-    if "charset=" in head:
-        named.append(head.split("charset=", 1)[1].strip("\"' ").split('"')[0].split("'")[0].split(">")[0].split(";")[0].strip())
-    best, top = "", None
-    for n, name in enumerate(dict.fromkeys([*named, *ENCODINGS[:2], *([header] if header else []), *ENCODINGS[2:]])):
-        try:
-            text = body.decode(name, errors="strict")
-        except (LookupError, UnicodeDecodeError):
-            try:
-                text = body.decode(name, errors="replace")
-            except LookupError:
-                continue
-        cjk = sum("一" <= c <= "鿿" for c in text)
-        bad = text.count("�") * 5 + sum(text.count(x) for x in ("Ã", "Â", "锟"))
-        score = (cjk - 2 * bad, -n)
-        if top is None or score > top:
-            best, top = text, score
-    return best
+    own = CHARSET.search(body[:8192])
+    names = dict.fromkeys(filter(None, (own and own[1].decode("ascii", "ignore"), *ENCODINGS[:2], header, *ENCODINGS[2:])))
+    readings = [t for t in (_reading(body, n) for n in names) if t is not None]
+    worth = lambda t: (sum("一" <= c <= "鿿" for c in t), -t.count("\ufffd"), -sum(map(t.count, ("Ã", "Â", "\ufffd"))))
+    return max(readings, key=worth) if readings else body.decode("utf-8", "replace")
 
 
 @F.pandas_udf(StringType())

@@ -36,6 +36,25 @@ def trimmed(bridge: DataFrame, articles: DataFrame, caps: DataFrame) -> DataFram
     return bridge.join(over, ["doc_id", "image_url"], "left_anti")
 
 
+def dry_run(articles: DataFrame, bridge: DataFrame, media: DataFrame, blocked_hosts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(what, before, after): what the whole cleanup leaves of articles, bridge rows and media, without writing it.
+
+    In order: articles of blocked hosts go, articles move to the source that
+    owns their host, images beyond a source's cap (sources: cap) go, media that
+    no article has any more go."""
+    kept, rest, used = cleaned(articles, bridge, media, blocked_hosts, sources)
+    count = lambda name, a, b: a.agg(F.count("*").alias("before")).join(b.agg(F.count("*").alias("after"))).select(F.lit(name).alias("what"), "before", "after")
+    return count("articles", articles, kept).unionByName(count("bridge", bridge, rest)).unionByName(count("media", media, used))
+
+
+def cleaned(articles: DataFrame, bridge: DataFrame, media: DataFrame, blocked_hosts: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, bridge rows, media) after the cleanup that dry_run counts."""
+    kept = reassigned(without_blocked(articles, blocked_hosts), sources)
+    mine = bridge.join(kept.select("doc_id"), "doc_id", "left_semi")
+    rest = trimmed(mine, kept, sources.select("id", "cap"))
+    return kept, rest, media.join(rest.select(F.col("image_url").alias("url")), "url", "left_semi")
+
+
 def image_jobs(bridge: DataFrame, bundles: DataFrame) -> DataFrame:
     """(image_url, articles): what to fetch, bridge rows first, then pairs that only bundles have."""
     rows = bridge.select("image_url", "article", F.lit(0).alias("o")).unionByName(bundles.select("image_url", "article", F.lit(1).alias("o")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold queries.
-MODULES: tuple[str, ...] = ("relational", "functions", "audit")
+MODULES: tuple[str, ...] = ("relational", "functions", "audit", "records")
 
 
 def _all(what: str) -> dict:

@@ -125,6 +125,7 @@ def test_json_and_text(spark):
     assert text.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
     assert text.revision_hash({"a": 1, "observedAt": "x"}) == text.revision_hash({"a": 1, "observedAt": "y"})
     assert text.decode_body("中文内容".encode("gb18030")) == "中文内容" and text.decode_body(b"") == ""
+    assert text.decode_body("繁體字".encode("big5"), "big5") and text.decode_body(b"<meta charset='big5'>" + "繁體字".encode("big5")).endswith("繁體字") and text.decode_body(b"\xff\xfe\xff") == "\ufffd\ufffd\ufffd"
     r = spark.createDataFrame([("﻿a\x01 b　 c",)], "s string").select(text.collapse(text.sanitize(F.col("s"))).alias("x")).first()
     assert r["x"] == "a b c"
 
