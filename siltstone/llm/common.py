@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import time
@@ -28,11 +29,27 @@ def shared_base(spark: SparkSession) -> str:
     return _LOCAL_BASE[0]
 
 
+_MADE: list = []
+
+
+@atexit.register
+def _forget() -> None:
+    """Deletes what results have read from, once the driver ends; its DataFrames are gone then."""
+    while _MADE:
+        jvm, conf, base = _MADE.pop()
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM may have ended first
+            return
+
+
 class Scratch:
-    """Tables of one run in the shared folder. They cut lineage and survive the loss of executors."""
+    """Tables of one run in the shared folder. They cut lineage and survive the loss of executors; they go when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_base(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.append((spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), self.base))
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"

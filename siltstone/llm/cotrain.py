@@ -176,6 +176,10 @@ class Model:
     edges: list[np.ndarray]
     heads: dict[str, tuple]
 
+    def learned(self, name: str) -> bool:
+        """Whether there were labels enough to learn from."""
+        return bool(self.heads[name][2].any() or self.heads[name][3].any())
+
     def meta(self, numbers: np.ndarray, named: np.ndarray) -> np.ndarray:
         """Feature ids of numbers and names, a row of them for each document; the first len(STYLE) are the content view's."""
         cols = [k * BINS + np.searchsorted(self.edges[k], numbers[:, k]) for k in range(numbers.shape[1])]
@@ -369,8 +373,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least_qual
     """docs with quality_score, toxic_score (probabilities) and kept (quality at least, toxicity below the bounds).
 
     Needs columns text, lang and source. Nulls there are values of their own; a
-    null text is an empty one; without usable labels every document gets the
-    labels' mean (0.5 for none) and documents are kept unless it says otherwise.
+    null text is an empty one. Where usable labels are too few (under ten, or all
+    alike) every document gets their mean (0.5 for none), and that score keeps
+    and rejects nothing. Repeated rows get equal scores; an empty table gives no
+    rows.
     Columns named like the outputs are replaced. The weights sent to the
     executors have a fixed size (about 2 MB)."""
     base = docs.drop("quality_score", "toxic_score", "kept")
@@ -390,4 +396,6 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", least_qual
             cols = [pa.array(np.concatenate(got[k]) if got[k] else [], pa.float64()) for k in ("quality", "toxic")]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*names, "quality_score", "toxic_score"])
 
-    return base.mapInArrow(run, schema).withColumn("kept", (F.col("quality_score") >= least_quality) & (F.col("toxic_score") < most_toxic))
+    good = F.col("quality_score") >= least_quality if model.learned("quality") else F.lit(True)
+    clean = F.col("toxic_score") < most_toxic if model.learned("toxic") else F.lit(True)
+    return base.mapInArrow(run, schema).withColumn("kept", good & clean)

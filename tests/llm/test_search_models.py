@@ -156,6 +156,27 @@ def test_pipeline_against_brute_force(spark):
     assert {c for r in sharded for c in r.asDict()} == {*names, "shard", "slot"}
 
 
+def test_pipeline_stages_on_hard_tables(spark, docs, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "same text here"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = docs([]).columns
+    odd = docs([(*r, None) for r in HARD[:4]] + list(HARD[4:]))
+    clash = odd.selectExpr("*", "1 AS kept", "'x' AS shard", "2 AS component_id", "3 AS __t", "4 AS __w", "5 AS size", "6 AS n_words")
+    n = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs([]), str(tmp_path)).count() == 0
+        for table in (odd, clash):
+            out = stage(spark, table, str(tmp_path))
+            assert set(table.columns) | ({"shard", "slot"} if stage is corpus_pipeline.shard else set()) == set(out.columns)
+            if table is clash and stage is not corpus_pipeline.shard:
+                assert out.where("kept = 1 AND shard = 'x' AND component_id = 2 AND __t = 3 AND __w = 4 AND size = 5 AND n_words = 6").count() == out.count()
+            n.setdefault(name, set()).add(out.count())
+    # Both tables agree; the stage of near duplicates drops copies, that of decontamination the benchmark's text.
+    assert {k: len(v) for k, v in n.items()} == dict.fromkeys(n, 1)
+    rows = {k: min(v) for k, v in n.items()}
+    assert rows["quality classifier"] == rows["sharding"] == len(HARD) and rows["near duplicates"] == len(HARD) - 2 and rows["decontamination"] == len(HARD) - 3
+
+
 def test_queries_have_known_names():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
 

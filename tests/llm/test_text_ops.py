@@ -420,6 +420,8 @@ def test_near_hard_rows(docs):
     by = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in rows}
     assert by[(1, 0)] == (1, True) and by[(6, 1)] == (5, False) and by[(5, 1)] == (5, True)
     assert minhash_join.near_duplicates(docs([])).count() == 0
+    clash = docs(HARD).selectExpr("*", "1 AS n", "'x' AS cls", "2 AS id", "3 AS sig", "4 AS component_id")
+    assert minhash_join.near_duplicates(clash, 3, 85).exceptAll(minhash_join.near_duplicates(docs(HARD), 3, 85)).count() == 0
     kept = sorted(r["doc_id"] or -1 for r in minhash_join.one_of_each(docs(HARD)).collect())
     assert kept == [-1, 1, 2, 3, 4, 5, 7, 8]
 
@@ -454,6 +456,8 @@ def test_decontamination_report_and_removal(docs, spark):
 
 def test_decontamination_hard_rows(docs, spark):
     assert decontam.report(docs(HARD), bench(spark, ITEMS)).count() == len(HARD)
+    clash = docs(HARD).selectExpr("*", "1 AS h", "2 AS len", "'x' AS gram", "3 AS items", "4 AS at", "5 AS n_words", "6 AS item_id")
+    assert decontam.report(clash, bench(spark, ITEMS)).exceptAll(decontam.report(docs(HARD), bench(spark, ITEMS))).count() == 0
     assert decontam.report(docs(HARD), bench(spark, [])).where("contaminated").count() == 0
     assert decontam.report(docs([]), bench(spark, ITEMS)).count() == 0
 
