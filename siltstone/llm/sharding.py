@@ -19,6 +19,8 @@ from .common import Scratch
 SAMPLES_PER_RANGE = 32
 RANGE_BYTES = 64 << 20
 MOST_RANGES = 8192
+#: Equal texts stay in one shard where they are at most this part of one.
+GROUP_PART = 128
 
 
 def _range_udf(bounds: list[tuple[int, int]]):
@@ -65,8 +67,10 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     part of all bytes: shards differ by one record at most. The size of a
     record is the UTF-8 bytes of its text plus 1. A null text counts as empty
     and a null id sorts first; repeated rows keep slots of their own. A group
-    of equal texts may straddle a boundary, which is what keeps a group with a
-    third of all rows from overfilling a shard. An empty table gives no rows.
+    of equal texts on a boundary stays whole, in the shard in which it begins,
+    if it has at most one in GROUP_PART of a shard's bytes; larger ones are
+    split there, so that a group with a third of all rows overfills no shard.
+    An empty table gives no rows.
     Columns of df named like the two outputs are replaced; others (or those in
     `keep`, so that texts need not travel) are kept.
 
@@ -110,6 +114,24 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
         rows = rows.withColumn("__r", _range_udf(bounds)).withColumns({"__before": F.sum("__size").over(order) - F.col("__size"), "__row": F.count("*").over(order) - 1})
         return rows.withColumns({shard_col: F.least(F.lit(n_shards - 1), F.call_function("div", (F.col("__before") + at(byte_base)) * n_shards, F.lit(total)).cast("int")), "__row": F.col("__row") + at(row_base)})
 
-    first = {r[0]: r[1] for r in placed(narrow).groupBy(shard_col).agg(F.min("__row")).collect()}
+    ends = {r[0]: (r[1], r[2]) for r in placed(narrow).groupBy(shard_col).agg(F.min(F.struct("__row", "__k")), F.max(F.struct("__row", "__k"))).collect()}
+    first = {s: lo["__row"] for s, (lo, _) in ends.items()}
+    # At most one group lies on each boundary.
+    used = sorted(ends)
+    torn = {ends[s][1]["__k"]: (s, t) for s, t in zip(used, used[1:]) if ends[s][1]["__k"] == ends[t][0]["__k"]}
+    whole = {}
+    if torn:
+        for r in narrow.where(F.col("__k").isin(list(torn))).groupBy("__k").agg(F.sum("__size").alias("b"), F.count("*").alias("n")).collect():
+            if r["b"] * n_shards * GROUP_PART <= total:
+                whole[r["__k"]] = torn[r["__k"]][0]
+    if whole:
+        moved = placed(narrow).where(F.col("__k").isin(list(whole))).groupBy("__k", shard_col).agg(F.max("__row").alias("last")).collect()
+        for r in moved:
+            if r[shard_col] != whole[r["__k"]]:
+                first[r[shard_col]] = max(first[r[shard_col]], r["last"] + 1)
     firsts = F.array(*(F.lit(first.get(s, 0)).cast("long") for s in range(n_shards)))
-    return placed(keyed).withColumn(slot_col, F.col("__row") - F.element_at(firsts, F.col(shard_col) + 1)).drop("__k", "__d", "__size", "__r", "__before", "__row")
+    out = placed(keyed)
+    home = F.col(shard_col)
+    for k, s in whole.items():
+        home = F.when(F.col("__k") == k, F.lit(s)).otherwise(home)
+    return out.withColumn(shard_col, home).withColumn(slot_col, F.col("__row") - F.element_at(firsts, F.col(shard_col) + 1)).drop("__k", "__d", "__size", "__r", "__before", "__row")

@@ -123,8 +123,15 @@ def brute_mix(rows):
 def brute_shards(rows, n=8):
     order = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), i, len((t or "").encode()) + 1) for i, t in rows)
     total, before, out, slots = sum(o[2] for o in order), 0, [], {}
-    for _, i, b in order:
-        s = min(n - 1, before * n // total)
+    group, begins = {}, {}
+    for k, _, b in order:
+        group[k] = group.get(k, 0) + b
+        begins.setdefault(k, min(n - 1, before * n // total))
+        before += b
+    before = 0
+    for k, i, b in order:
+        # A group of equal texts stays in the shard where it begins unless it is a large part of one.
+        s = begins[k] if group[k] * n * 128 <= total else min(n - 1, before * n // total)
         out.append((i, s, slots.get(s, 0)))
         slots[s] = slots.get(s, 0) + 1
         before += b

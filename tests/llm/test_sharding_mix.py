@@ -104,3 +104,27 @@ def test_mix_hard_rows(docs):
     assert pareto_mix.copies(out).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert pareto_mix.mix(docs([])).count() == 0
     assert pareto_mix.mix(docs([(1, None), (2, "")])).where("taken > 0").count() == 0
+
+
+def test_equal_texts_stay_together(docs):
+    from test_search_models import brute_shards
+
+    rows = [(i, f"text number {i // 3} " * 5) for i in range(6000)] + [(10_000 + i, "one text of a third of all rows " * 3) for i in range(2000)]
+    got = sharding.shard(docs(rows), 8).collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == brute_shards(rows)
+    homes = {}
+    for r in got:
+        homes.setdefault(r["text"], set()).add(r["shard"])
+    assert [len(h) for t, h in homes.items() if t.startswith("text")] == [1] * 2000 and len(homes["one text of a third of all rows " * 3]) > 1
+    size = [sum(len(r["text"]) + 1 for r in got if r["shard"] == s) for s in range(8)]
+    assert max(size) - min(size) < 0.03 * sum(size) / 8
+
+
+def test_op1_against_brute_force(spark):
+    from test_search_models import brute_shards
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = queries.op1_sampled_splitters(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == brute_shards(rows)
+    text = dict(rows)
+    assert all((r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len((text[r["doc_id"]] or "").encode()) + 1, zlib.crc32((text[r["doc_id"]] or "").encode()), "bytes", None) for r in got)
