@@ -36,7 +36,7 @@ from .common import Scratch, connected_components, freed
 
 K = 40
 #: Classes and shingles of a list that one task merges; a longer list is dealt in blocks.
-BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 #: First members of a long list that every block of it has.
 LEADERS = 8
 
