@@ -15,8 +15,8 @@ among its grams, so two equal windows pick the same gram at the same place:
    prefix of `length` are equal windows; all but those of the first document go.
 4. Each document takes the union of its windows out of its bytes.
 
-A gram that very many documents have (of a passage that a third of the corpus
-quotes) is dealt by segment, after each task has settled its own copies, and
+A gram that a large part of all postings have (of a passage that a third of the
+corpus quotes, or of one word over and over) is dealt by segment, after each task has settled its own copies, and
 its first copies by window: equal segments and equal windows still meet. Which
 grams those are a sample of documents tells; it decides how rows are dealt,
 not what is removed.
@@ -40,8 +40,10 @@ GRAM = 16
 RUN_BYTES = 3 << 20
 #: Segments of one gram beyond which its windows are dealt singly.
 MANY = 20_000
-#: One document in SAMPLE is asked for grams that one in COMMON of them have.
-SAMPLE, COMMON = 64, 200
+#: One document in SAMPLE is asked for grams that take one in COMMON of all postings, which are COMMON grams at most.
+SAMPLE, COMMON = 64, 2000
+#: Postings of a gram in the sample below which it isn't common.
+LEAST = 50
 #: Marks of a posting: of a common gram; settled, as an earlier document of its task has the same segment.
 HOT, SETTLED = 1 << 61, 1 << 62
 _U = np.uint64
@@ -228,19 +230,19 @@ def _unpack(p: np.ndarray):
 
 
 def _common(docs: DataFrame, length: int) -> np.ndarray:
-    """Hashes of grams that many documents have, by a sample: at most COMMON times as many as a document has grams."""
+    """Hashes of grams that a large part of all postings have, by a sample of documents."""
 
     def run(batches):
         for b in batches:
-            for i, j, data, off in tk.pieces(b.column(1)):
-                h, r, *_ = pick(data, off, length)
-                ids = b.column(0).to_numpy(zero_copy_only=False)[i:j][r].astype("int64")
-                yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(ids)], names=["h", "doc"])
-
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0)
-    least = max(20, sample.count() // COMMON)
-    rows = sample.mapInArrow(run, "h long, doc long").distinct().groupBy("h").count().where(F.col("count") >= least).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], "int64").view(_U))
+            for _, _, data, off in tk.pieces(b.column(1)):
+                h, n = np.unique(pick(data, off, length)[0].view("int64"), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype("int64"))], names=["h", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h long, n long")
+    counts = sample.groupBy("h").agg(F.sum("n").alias("n"))
+    every = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.where(F.col("n") >= max(LEAST, every // COMMON)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in found], "int64").view(_U))
 
 
 def _post(length: int, hot: np.ndarray):

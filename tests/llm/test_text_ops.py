@@ -267,6 +267,7 @@ def repeat_rows():
 def test_suffix_arrays_against_brute_force(docs, monkeypatch, many, sample):
     monkeypatch.setattr(suffix_dedup, "MANY", many)  # 3: windows of common grams are dealt singly
     monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)  # 1: the sample shows the common passage of 30 documents
+    monkeypatch.setattr(suffix_dedup, "LEAST", 20)
     rows = repeat_rows()
     d = docs(rows)
     assert (len(suffix_dedup._common(d.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL"), 50)) > 0) == (sample == 1)
