@@ -17,35 +17,58 @@ def read_events(spark: SparkSession, path: str, like: DataFrame, ts_col: str = "
     return raw.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
 
 
-def outbox_stream(events: DataFrame, table: str, checkpoint: str, id_col: str = "event_id"):
-    """Appends each event once to the Parquet folder `table`: a batch leaves out ids that the table has.
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it lies."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    Replaying a batch after a failure finds its ids there and adds nothing."""
+
+def outbox_stream(events: DataFrame, table: str, checkpoint: str, id_col: str = "event_id", ts_col: str = "ts"):
+    """Appends each event once to the Parquet folder `table`, by day: a batch leaves out ids that its days have already.
+
+    An event's id and time go together, so only the days that a batch touches are read. Replaying a batch after a failure finds
+    its ids there and adds nothing. Events without a time share a day of their own."""
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(table)
-        if path.getFileSystem(conf).exists(path):
-            fresh = fresh.join(spark.read.parquet(table).select(id_col), id_col, "left_anti")
-        fresh.write.mode("append").parquet(table)
+        fresh = batch.dropDuplicates([id_col]).withColumn("day", F.coalesce(F.to_date(ts_col).cast("string"), F.lit("none")))
+        fs, at = _folder(spark, table)
+        if fs.exists(at):
+            days = [r["day"] for r in fresh.select("day").distinct().collect()]
+            known = [f"{table}/day={d}" for d in days if fs.exists(_folder(spark, f"{table}/day={d}")[1])]
+            if known:
+                fresh = fresh.join(spark.read.schema(batch.schema).parquet(*known).select(id_col), id_col, "left_anti")
+        fresh.write.mode("append").partitionBy("day").parquet(table)
 
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def latest_by_key(events: DataFrame, key: str, ts_col: str, value: str, table: str, checkpoint: str):
-    """Keeps the newest value of each key in the folder `table`, rewritten by version so that readers never see half of it."""
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Versions of a state folder that were written to their end, oldest first."""
+    fs, at = _folder(spark, table)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_folder(spark, f"{table}/{n}/_SUCCESS")[1]))
+
+
+def latest_by_key(events: DataFrame, key: str, ts_col: str, value: str, table: str, checkpoint: str, keep: int = 2):
+    """Keeps the newest value of each key in the folder `table`, a version for each batch, so that readers never see half of one.
+
+    A batch builds on the newest whole version before its own, whatever its number, and leaves `keep` versions behind."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy(key).agg(F.max(F.struct(ts_col, value)).alias("m")).select(key, f"m.{ts_col}", f"m.{value}")
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        old_path = jvm.org.apache.hadoop.fs.Path(f"{table}/v={epoch - 1}")
-        if epoch and old_path.getFileSystem(conf).exists(old_path):
-            old = spark.read.schema(new.schema).parquet(f"{table}/v={epoch - 1}")
+        older = [v for v in versions(spark, table) if v < epoch]
+        if older:
+            old = spark.read.schema(new.schema).parquet(f"{table}/v={older[-1]}")
             new = upsert.upsert(old, new, key, guard=lambda o, n: n[ts_col] >= o[ts_col])
         new.write.mode("overwrite").parquet(f"{table}/v={epoch}")
+        for v in older[: max(0, len(older) + 1 - keep)]:
+            fs, at = _folder(spark, f"{table}/v={v}")
+            fs.delete(at, True)
 
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
