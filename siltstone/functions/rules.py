@@ -37,6 +37,25 @@ NOT_INDEXED = "not_indexed"
 #: Paths of detail pages, in lower case.
 DETAIL_PATHS = (r"/(?:info|article|show_|view|detail|content)(?:[/?_.-]|$)", r"/20[0-9]{2}/[0-9]{4}/c[0-9]+a[0-9]+/", r"/web/news/[0-9]+", r"/news_detail-[0-9]+", r"/newslists/news/", r"/class_[0-9]+/(?:news|post)/", r"/(?:notice|news)/(?:[^/]+/)?[0-9]+\.(?:html?|aspx)$")
 
+# Where pages keep their content: a place (tag, #id, .class, [class*='part'], a space for "inside") and what it adds to the length of its text.
+CONTENT_PLACES = (
+    ("#Content", 2200), ("#divContent", 2200), (".media-foucs", 1800), (".detail-content", 1800), (".wp_articlecontent", 1800), ("#wp_articlecontent", 1800), ("#SubPage", 1500), ("#con_main", 1600), (".con_main", 1600),
+    (".wl-detail", 1800), (".newsdetail_main", 1800), (".container_bg", 1600), (".central_text", 1900), (".newscont", 1800), (".inner-news-detail", 1800), (".wl-xueshu", 1900), (".cont .text", 1800), (".SubPage", 1500),
+    (".news-detail-notes", 1900), (".articel-show-text", 1800), (".newscontent", 1700), (".newsNr", 1700), (".node__content", 1600), (".field--name-body", 1600), ("article", 950), ("main", 100), (".v_news_content", 2200),
+    ("#vsb_content", 2200), (".article-content", 850), (".article_content", 850), (".article-body", 0), (".entry-content", 0), (".post-content", 800), (".page-content", 1800), (".confBodyBox", 1700), (".mainContent", 1600),
+    (".conference-page", 1500), (".item-summary", 1500), (".contribution-description", 1900), (".contribution-content", 1900), (".paper-content", 1900), (".news_content", 0), (".news-content", 0), (".content", 0),
+    (".InfoBox", 1800), (".infobox", 1800), (".detail", 0), (".article", 0), ("td.content", 500), ("td[class*='content']", 450), ("[class*='article']", 0), ("[class*='content']", 0),
+)
+#: A place that counts though it is hidden (scripts show it), and places that count even if empty.
+HIDDEN_PLACE, EMPTY_PLACES = "#divContent", (".cont .text", ".InfoBox", ".infobox", ".newsNr")
+#: From this boost on a place is trusted with little text.
+SURE_BOOST, LEAST_TEXT = 1500, 40
+#: Titles that say nothing, words of a page that is nothing but its frame, and paths of listings, attachments and events.
+BANNERS = ("banner", "banner3", "banner信息")
+FRAME_WORDS = r"(?:发布时间|阅读次数|浏览次数|上一篇|下一篇|上一条|下一条|来源|作者)\s*[:：]?"
+FRAME_MARKS = r"[\s0-9|:/：.\-\ue000-\uf8ff]+"
+LISTING_PATH, ATTACHMENT_PATH, EVENT_PATH = r"/(?:list|index)(?:[-_]?[0-9]+)?(?:/|\.[^/?]+)?$", "/attachment/", r"/event/[0-9]+/(?:page|contributions)/"
+
 # Publication types.
 NOTICE_URL_PARTS = ("/notice/", "/announcement/", "tzgg", "xxgg", "gonggao", "tongzhi")
 NOTICE_SECTIONS = ("/info/1360/", "/info/1361/", "/info/1362/", "/info/1363/", "/info/1364/", "/info/1365/", "/info/1366/")

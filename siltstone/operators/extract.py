@@ -6,12 +6,13 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions import dates, html, text
+from ..functions import dates, html, rules, text
 from ..functions.url import canonical
 
 PAGE_SCHEMA = "url string, canonical_url string, title string, is_article boolean, author string, category string, summary string, published_at string, updated_at string, body_html string, body_text string, body_markdown string, extraction_method string, content_hash string, links array<string>, link_dates map<string,string>, images array<struct<url:string,alt:string,title:string,caption:string>>, raw_json string"
@@ -27,26 +28,85 @@ def register(adapter: Adapter, sources: tuple[str, ...] = (), hosts: tuple[str,
     _BY_HOST.update(dict.fromkeys(hosts, adapter))
 
 
-def by_class(title: str, date: str, body: str) -> Adapter:
-    """An adapter for a template known by class or id names of its title, date and body."""
+@dataclass(frozen=True)
+class Template:
+    """A site template: where its pages keep title, date and body (each a choice of places), and which of its pages are articles."""
 
-    def named(root: html.Node, name: str) -> html.Node | None:
-        return next((n for n in root.walk() if name in n.named().split()), None) if name else None
+    name: str
+    title: tuple[str, ...]
+    date: tuple[str, ...]
+    body: tuple[str, ...]
+    url: str = ""
+    labelled: bool = False  # a date counts only after its label
+    anywhere: bool = False  # a labelled date counts wherever on the page it stands
+    inside: bool = False  # title and date stand in the body and are no part of it
 
-    def run(url: str, root: html.Node) -> dict | None:
-        content = named(root, body)
-        if content is None:
+    def __call__(self, url: str, root: html.Node) -> dict | None:
+        if self.url and not re.search(self.url, url, re.I):
             return None
-        head, when = named(root, title), named(root, date)
-        return {"title": html.flat(head.text(" ")) if head else "", "published_at": dates.parse(when.text(" ")) if when else "", "body": content}
-
-    return run
-
-
-# Class names of the templates that have adapters.
-TEMPLATES = {"course": ("course-title", "course-date", "course-content"), "jhtml": ("article-title", "article-date", "article-content"), "vsb": ("arti_title", "arti_update", "v_news_content"), "wordpress": ("entry-title", "entry-date", "entry-content"), "yz": ("news-title", "news-date", "news-content")}
-for _name, _classes in TEMPLATES.items():
-    register(by_class(*_classes), sources=(_name,))
+        body = next((n for p in self.body for n in html.at(root, p)), None)
+        scope = body if self.inside and body is not None else root
+        head = next((n for n in html.at(scope, *self.title) if html.flat(n.text(" "))), None)
+        if body is None or head is None:
+            return None
+        dated = [(n, self._day(html.flat(n.text(" ")))) for n in html.at(scope, *self.date)]
+        when = next(((n, d) for n, d in dated if d), None)
+        title = re.sub(r"\s*\[[0-9]{4}-[0-9]{2}-[0-9]{2}\]\s*$", "", html.flat(head.text(" "))).strip()
+        day = when[1] if when else self._day(html.flat(root.text(" "))) if self.anywhere else ""
+        if self.inside:
+            if when is None:
+                return None
+            for n in (head, when[0]):
+                n.parent.kids = [k for k in n.parent.kids if k is not n]
+            if len(html.flat(body.text(" "))) < 10:
+                return None
+        return {"title": title, "published_at": day, "body": body} if title else None
+
+    def _day(self, words: str) -> str:
+        for pattern in (LABELLED_DAY, PLAIN_DAY)[: 1 if self.labelled else 2]:
+            m = pattern.search(words)
+            if m:
+                return f"{m[1]}-{int(m[2]):02d}-{int(m[3]):02d}"
+        return ""
+
+
+# Date forms, templates and the hosts that use them.
+PLAIN_DAY = re.compile(r"(20[0-9]{2})-([0-9]{1,2})-([0-9]{1,2})")
+LABELLED_DAY = re.compile(r"发布时间[：:]\s*(20[0-9]{2})[-年/]([0-9]{1,2})[-月/]([0-9]{1,2})")
+TEMPLATES = {
+    "course": (Template("course", ("div.infion-con span",), ("div.infion-con",), ("div.Content",), url=r"//[^/]+/portal/news/info/*(?:[?#]|$)"), ("course",)),
+    "jhtml": (Template("jhtml", ("p.News-detail-title",), ("div.news-detail-notes",), ("div.news-detail-news-con",), labelled=True), ("iat",)),
+    "vsb": (Template("vsb", (".arti_title", ".article-tit h1"), (".arti_metas",), (".wp_articlecontent",), url=r"/20[0-9]{2}/[0-9]{4}/c[0-9]+a[0-9]+/", labelled=True, anywhere=True), ("mech", "iid", "www.nsrl", "physics")),
+    "wordpress": (Template("wordpress", ("h1",), ("h2",), ("div.detail-text", "div.detail-content"), inside=True), ("lib",)),
+    "yz": (Template("yz", ("p.zkd-title",), ("div.provenance",), ("div.txt-new",)), ("yz",)),
+}
+for _template, _hosts in TEMPLATES.values():
+    register(_template, sources=(_template.name,), hosts=tuple(f"{h}.{rules.HOME_DOMAIN}" for h in _hosts))
+
+
+def vetoes(url: str, root: html.Node, content: html.Node, title: str, body: str, pictures: bool, media: bool, marked: bool, dated: bool) -> list[str]:
+    """Why a page yields no article; empty if it does. marked: its data says it is one; dated: it names its publication date."""
+    parts = urlsplit(url)
+    place = parts.path.lower()
+    listing = bool(re.search(rules.LISTING_PATH, place))
+    single = bool(html.at(root, ".arti_title", ".wp_single", "#wp_column_article") and html.at(root, ".wp_articlecontent") and (len(body) > 180 or pictures))
+    fallback = content.tag in ("body", "#document")
+    detail = any(re.search(p, place) for p in rules.DETAIL_PATHS) or bool(re.search(rules.EVENT_PATH, url, re.I)) or listing and single
+    alone = len(root.find("article")) == 1 and len(body) > 180
+    bare = re.sub(rules.FRAME_MARKS, "", re.sub(rules.FRAME_WORDS, "", body.replace(title, "", 1) if title else body))
+    shown = pictures or media
+    checks = {
+        "attachment": "attachment_id=" in parts.query.lower() or rules.ATTACHMENT_PATH in place,
+        "listing": listing and not single,
+        "no sign of an article": not (marked or dated or detail or alone),
+        "frame only": bool(body) and not bare and not shown,
+        "no paragraph": fallback and not any(len(html.flat(p.text(" "))) >= 20 for p in content.find("p")),
+        "section title": fallback and html.generic_title(title),
+        "banner": not body and not media and title.casefold() in rules.BANNERS,
+        "empty": not body and not shown,
+        "untitled": not title.strip(),
+    }
+    return [why for why, so in checks.items() if so]
 
 
 def extract(url: str, page: str | None, source_id: str = "") -> dict:
@@ -75,13 +135,20 @@ def extract(url: str, page: str | None, source_id: str = "") -> dict:
         repeated.parent.kids = [k for k in repeated.parent.kids if k is not repeated]
     body = html.block_text(clean)
     around = html.flat(root.text(" "))
-    label = re.search(f"(?:{dates.PUBLISH_LABELS})" + r"\s*[:：]?\s*([^\n|｜]{0,40})", around)
+    labels = re.compile(f"(?:{dates.PUBLISH_LABELS})" + r"\s*[:：]?\s*([^\n|｜]{0,40})")
+    label = labels.search(around)
     path_date = re.search(r"/(20\d{2})/(\d{2})(\d{2})(?:/|$)|(20\d{2})[-_](\d{2})[-_](\d{2})", urlsplit(url).path)
     published = fields.get("published_at") or dates.parse(pick("datePublished")) or dates.parse(html.meta(root, "article:published_time", "PubDate", "publishdate")) or (dates.parse(label[1]) if label else "") or (dates.parse("-".join(g for g in path_date.groups() if g)) if path_date else "")
     updated = dates.parse(pick("dateModified")) or dates.parse(html.meta(root, "article:modified_time"))
-    listing = len(links) >= 40 and len(body) < 12 * len(links)
-    article = bool(title and len(body) >= 80 and not listing and not html.generic_title(title))
     pics = html.images(clean, url)
+    marked = any(str(t).endswith("Article") for o in ld for t in (o.get("@type") if isinstance(o.get("@type"), list) else [o.get("@type")]))
+    said = pick("datePublished") or html.meta(root, "article:published_time", "PubDate", "publishdate")
+    article = not vetoes(url, root, fields.get("body") or node, title, body, bool(pics), html.holds_media(clean), marked, bool(said or label))
+    if article and not published:
+        # A date in the text counts where a label stands before it, or as its very last words.
+        last = re.search(r"(20[0-9]{2})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?\s*$", body)
+        near = next((m for m in (labels.search(body[:3000]), labels.search(body[-1500:])) if m), None)
+        published = (dates.parse(near[1]) if near else "") or (dates.parse("-".join(last.groups())) if last else "")
     raw = {"jsonld": ld} | ({"adapter_error": error} if error else {})
     return {
         "url": url, "canonical_url": canon, "title": title, "is_article": article, "author": pick("author") or html.meta(root, "author"), "category": pick("articleSection") or html.meta(root, "article:section") or html.crumbs(root),

@@ -104,10 +104,64 @@ def test_extract_tolerates():
         assert extract.extract("https://e.org/", page)["is_article"] is False
 
 
-def test_adapter():
-    page = '<div class="arti_title">T</div><span class="arti_update">2026-02-03</span><div class="v_news_content"><p>' + "word " * 40 + "</p></div>"
-    r = extract.extract("https://e.org/x", page, "vsb")
-    assert (r["title"], r["published_at"], r["extraction_method"]) == ("T", "2026-02-03", "adapter")
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize(
+    "source, url, page, want",
+    [
+        ("vsb", "https://e.org/2026/0203/c1a2/page.htm", f'<h1 class="arti_title">T [2026-02-01]</h1><p class="arti_metas">发布时间：2026年2月3</p><div class="wp_articlecontent"><p>{LONG}</p></div><i>发布时间：2020-01-01</i>', ("T", "2026-02-03", "adapter")),
+        ("vsb", "https://e.org/2026/0203/c1a2/page.htm", f'<div class="article-tit"><h1>T</h1></div><div class="wp_articlecontent"><p>{LONG}</p></div><i>发布时间：2026-1-2</i>', ("T", "2026-01-02", "adapter")),
+        ("vsb", "https://e.org/other", f'<h1 class="arti_title">T</h1><div class="wp_articlecontent"><p>{LONG}</p></div>', ("T", "", "generic")),
+        ("course", "https://e.org/portal/news/info/?id=3", f'<div class="infion-con"><span>T</span> 2026-3-4</div><div class="Content"><p>{LONG}</p></div>', ("T", "2026-03-04", "adapter")),
+        ("jhtml", "https://e.org/a.jhtml", f'<p class="News-detail-title">T</p><div class="news-detail-notes">发布时间: 2026/5/6</div><div class="news-detail-news-con"><p>{LONG}</p></div>', ("T", "2026-05-06", "adapter")),
+        ("jhtml", "https://e.org/a.jhtml", f'<p class="News-detail-title">T</p><div class="news-detail-notes">2026-05-06</div><div class="news-detail-news-con"><p>{LONG}</p></div>', ("T", "", "adapter")),
+        ("wordpress", "https://e.org/p", f'<div class="detail-text"><h1>T</h1><h2><span>2026-07-08</span></h2><p>{LONG}</p></div>', ("T", "2026-07-08", "adapter")),
+        ("wordpress", "https://e.org/p", f'<div class="detail-text"><h1>T</h1><p>{LONG}</p></div>', ("T", "", "generic")),
+        ("yz", "https://e.org/p", f'<p class="zkd-title">T</p><div class="provenance">来源 2026-09-01</div><div class="txt-new"><p>{LONG}</p></div>', ("T", "2026-09-01", "adapter")),
+    ],
+)
+def test_adapters(source, url, page, want):
+    r = extract.extract(url, page, source)
+    assert (r["title"], r["published_at"] if r["extraction_method"] == "adapter" else "", r["extraction_method"]) == want
+    if want[2] == "adapter" and r["is_article"]:
+        assert "T" not in r["body_text"].split() and r["body_text"].startswith("word")
+
+
+def test_content_places():
+    menu = "<ul class='content'>" + "<li><a href=x>many linked words in a menu of the page here</a></li>" * 8 + "</ul>"
+    page = f"<body>{menu}<div class='nav'><div id='vsb_content'>{LONG * 5}</div></div><table><tr><td class='content'><p>{LONG}</p></td></tr></table><div id='divContent' style='display:none'><p>The real text of it.</p></div></body>"
+    assert html.flat(html.content_root(html.parse(page)).text(" ")) == "The real text of it."
+    assert html.content_root(html.parse("<body><p>only text</p></body>")).tag == "body"
+    assert html.content_root(html.parse(f"<div class='cont'><div class='text'><img src=a></div></div><div class='text'>{LONG}</div>")).attrs["class"] == "text"
+
+
+@pytest.mark.parametrize(
+    "url, page, why",
+    [
+        ("https://e.org/x?attachment_id=3", f"<article><h1>T</h1><p>{LONG}</p></article>", "attachment"),
+        ("https://e.org/news/list2.htm", f"<article><h1>T</h1><p>{LONG}</p></article>", "listing"),
+        ("https://e.org/plain", f"<div class='content'><h1>T</h1><p>{LONG}</p></div>", "no sign of an article"),
+        ("https://e.org/info/1.htm", "<div id='vsb_content'><h1>T</h1><p>发布时间: 2026-01-02 上一篇: </p></div>", "frame only"),
+        ("https://e.org/info/1.htm", f"<body><h1>T</h1><div>{LONG}</div></body>", "no paragraph"),
+        ("https://e.org/info/1.htm", "<div id='vsb_content'></div><h1>T</h1>", "empty"),
+        ("https://e.org/info/1.htm", f"<div id='vsb_content'><p>{LONG}</p></div>", "untitled"),
+    ],
+)
+def test_pages_that_are_no_articles(url, page, why):
+    assert extract.extract(url, page)["is_article"] is False
+    root = html.parse(page)
+    node = html.content_root(root)
+    clean = html.without_chrome(node)
+    for h in clean.find("h1"):
+        h.parent.kids = [k for k in h.parent.kids if k is not h]
+    assert why in extract.vetoes(url, root, node, html.title(root), html.block_text(clean), False, False, False, False)
+
+
+def test_dates_in_the_text():
+    page = "<div id='vsb_content'><h1>T</h1><p>{}</p></div>"
+    assert extract.extract("https://e.org/info/1.htm", page.format(LONG + " 2026年3月4日"))["published_at"] == "2026-03-04"
+    assert extract.extract("https://e.org/info/1.htm", page.format("On 2026-03-04 " + LONG))["published_at"] == ""
 
 
 def test_markdown_images():
