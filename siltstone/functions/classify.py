@@ -42,49 +42,56 @@ def score_page(*, page_url: Column, now: Column, final_url: Column | None = None
     nav = _has(F.concat_ws(" ", page_url, target, title), rules.NAVIGATION)
     length = F.char_length(F.regexp_replace(body, r"(?U)^\s+|\s+$", ""))
     recent = dates.within(published, 365, now)
-    points = (
-        (news, 35, F.lit("news/notice publication signal")),
-        (resource, 30, F.lit("course/assignment/resource signal")),
-        (has_article, 20, F.lit("article metadata or detail-page structure")),
-        ((published != "") & recent, 20, F.lit("published within the last 365 days")),
-        ((published != "") & ~recent, 5, F.lit("publication date captured")),
-        (length >= 200, 10, F.lit("substantial text body")),
-        (length < 80, -20, F.lit("empty or near-empty body")),
-        (title != "", 5, F.lit("title captured")),
-        (documents > 0, 10, F.concat(documents.cast("string"), F.lit(" document attachment link(s)"))),
-        (F.lit(True), 5, F.lit("direct public response")),
-        (nav, -20, F.lit("navigation/search/statistics boilerplate")),
-        ((links > 0) & (length > 0) & (links > F.greatest(F.lit(40), F.floor(length / 12))), -10, F.lit("link-heavy listing with little unique text")),
-        (~has_article & ~news & ~resource & (length < 160), -10, F.lit("generic shell without a publication/resource signal")),
-    )
-    total = F.lit(0)
-    for cond, value, _ in points:
-        total = total + F.when(cond, value).otherwise(0)
-    score = F.greatest(zero, F.least(F.lit(100), total))
-    tier = F.lit(rules.NOT_INDEXED)
-    for least, name in reversed(rules.TIERS):
-        tier = F.when(score >= least, name).otherwise(tier)
-    reasons = F.array_compact(F.array(*(F.when(cond, reason) for cond, _, reason in points)))
-    lower_type = F.lower(content_type)
-    document = url.document_asset(target) | ((content_type != "") & ~lower_type.contains("html") & ~lower_type.contains("xml"))
-    kind = F.when(document, "document").when(news & has_article, "news_article").when(news, "news_listing").when(resource, "course_resource").when(has_article, "article").when(nav, "navigation").when(length < 80, "shell").otherwise("page")
-
-    def verdict(k, mode, s, t, why, date):
-        c = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return F.struct(c(k).alias("page_kind"), c(mode).alias("access_mode"), c(s).cast("int").alias("value_score"), c(t).alias("value_tier"), why.alias("score_reasons"), c(date).alias("published_at"))
-
-    gate = lambda k, mode, s, why, date: verdict(k, mode, s, rules.NOT_INDEXED, F.array(why), date)
-    http = F.concat(F.lit("HTTP "), status.cast("string"))
-    login = F.lower(html).contains("password") & (_has(hay, rules.AUTH) | F.lower(target).contains("/webapps/login"))
-    return (
-        F.when(robots, gate("robots_blocked", "blocked", 0, F.lit("robots.txt blocked"), published))
-        .when(status.isin(401, 403), gate("auth_gate", "auth_required", 0, F.concat(http, F.lit(" requires access")), published))
-        .when((status <= 0) | (status >= 400), gate("error", "unavailable", 0, http, published))
-        .when(url.uploaded_html(target), gate("document", "public", 0, F.lit("uploaded HTML attachment"), ""))
-        .when(login, gate("auth_gate", "login_required", 0, F.lit("login form without public body"), published))
-        .when(duplicate, gate("duplicate", "public", 3, F.lit("same response body already stored under another URL"), published))
-        .otherwise(verdict(kind, "public", score, tier, reasons, published))
-    )
+    signals = {"news": news, "resource": resource, "nav": nav, "length": length, "recent": recent}
+
+    def judged(signal: Column) -> Column:
+        news, resource, nav, length, recent = (signal[name] for name in signals)
+        points = (
+            (news, 35, F.lit("news/notice publication signal")),
+            (resource, 30, F.lit("course/assignment/resource signal")),
+            (has_article, 20, F.lit("article metadata or detail-page structure")),
+            ((published != "") & recent, 20, F.lit("published within the last 365 days")),
+            ((published != "") & ~recent, 5, F.lit("publication date captured")),
+            (length >= 200, 10, F.lit("substantial text body")),
+            (length < 80, -20, F.lit("empty or near-empty body")),
+            (title != "", 5, F.lit("title captured")),
+            (documents > 0, 10, F.concat(documents.cast("string"), F.lit(" document attachment link(s)"))),
+            (F.lit(True), 5, F.lit("direct public response")),
+            (nav, -20, F.lit("navigation/search/statistics boilerplate")),
+            ((links > 0) & (length > 0) & (links > F.greatest(F.lit(40), F.floor(length / 12))), -10, F.lit("link-heavy listing with little unique text")),
+            (~has_article & ~news & ~resource & (length < 160), -10, F.lit("generic shell without a publication/resource signal")),
+        )
+        total = F.lit(0)
+        for cond, value, _ in points:
+            total = total + F.when(cond, value).otherwise(0)
+        score = F.greatest(zero, F.least(F.lit(100), total))
+        tier = F.lit(rules.NOT_INDEXED)
+        for least, name in reversed(rules.TIERS):
+            tier = F.when(score >= least, name).otherwise(tier)
+        reasons = F.array_compact(F.array(*(F.when(cond, reason) for cond, _, reason in points)))
+        lower_type = F.lower(content_type)
+        document = url.document_asset(target) | ((content_type != "") & ~lower_type.contains("html") & ~lower_type.contains("xml"))
+        kind = F.when(document, "document").when(news & has_article, "news_article").when(news, "news_listing").when(resource, "course_resource").when(has_article, "article").when(nav, "navigation").when(length < 80, "shell").otherwise("page")
+
+        def verdict(k, mode, s, t, why, date):
+            c = lambda x: x if isinstance(x, Column) else F.lit(x)
+            return F.struct(c(k).alias("page_kind"), c(mode).alias("access_mode"), c(s).cast("int").alias("value_score"), c(t).alias("value_tier"), why.alias("score_reasons"), c(date).alias("published_at"))
+
+        gate = lambda k, mode, s, why, date: verdict(k, mode, s, rules.NOT_INDEXED, F.array(why), date)
+        http = F.concat(F.lit("HTTP "), status.cast("string"))
+        login = F.lower(html).contains("password") & (_has(hay, rules.AUTH) | F.lower(target).contains("/webapps/login"))
+        return (
+            F.when(robots, gate("robots_blocked", "blocked", 0, F.lit("robots.txt blocked"), published))
+            .when(status.isin(401, 403), gate("auth_gate", "auth_required", 0, F.concat(http, F.lit(" requires access")), published))
+            .when((status <= 0) | (status >= 400), gate("error", "unavailable", 0, http, published))
+            .when(url.uploaded_html(target), gate("document", "public", 0, F.lit("uploaded HTML attachment"), ""))
+            .when(login, gate("auth_gate", "login_required", 0, F.lit("login form without public body"), published))
+            .when(duplicate, gate("duplicate", "public", 3, F.lit("same response body already stored under another URL"), published))
+            .otherwise(verdict(kind, "public", score, tier, reasons, published))
+        )
+
+    # The signals are read many times and computed once, as the element of an array.
+    return F.transform(F.array(F.struct(*(c.alias(name) for name, c in signals.items()))), judged)[0]
 
 
 def url_priority(page_url: Column, source_id: Column, parent: Column, published: Column, now: Column) -> Column:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions import dates, html, rules, text
@@ -89,9 +90,9 @@ def vetoes(url: str, root: html.Node, content: html.Node, title: str, body: str,
     parts = urlsplit(url)
     place = parts.path.lower()
     listing = bool(re.search(rules.LISTING_PATH, place))
-    single = bool(html.at(root, ".arti_title", ".wp_single", "#wp_column_article") and html.at(root, ".wp_articlecontent") and (len(body) > 180 or pictures))
+    single = listing and bool((len(body) > 180 or pictures) and html.at(root, ".arti_title", ".wp_single", "#wp_column_article") and html.at(root, ".wp_articlecontent"))
     fallback = content.tag in ("body", "#document")
-    detail = any(re.search(p, place) for p in rules.DETAIL_PATHS) or bool(re.search(rules.EVENT_PATH, url, re.I)) or listing and single
+    detail = any(re.search(p, place) for p in rules.DETAIL_PATHS) or bool(re.search(rules.EVENT_PATH, url, re.I)) or single
     alone = len(root.find("article")) == 1 and len(body) > 180
     bare = re.sub(rules.FRAME_MARKS, "", re.sub(rules.FRAME_WORDS, "", body.replace(title, "", 1) if title else body))
     shown = pictures or media
@@ -109,8 +110,12 @@ def vetoes(url: str, root: html.Node, content: html.Node, title: str, body: str,
     return [why for why, so in checks.items() if so]
 
 
-def extract(url: str, page: str | None, source_id: str = "") -> dict:
-    """All fields of one page. Without an article the body fields are empty."""
+#: Fields that take work of their own.
+COSTLY = frozenset(("body_html", "body_markdown", "images"))
+
+
+def extract(url: str, page: str | None, source_id: str = "", fields_wanted: frozenset[str] = COSTLY) -> dict:
+    """All fields of one page. Without an article the body fields are empty, and so are costly ones that aren't wanted."""
     root = html.parse(page)
     ld = html.jsonld(root)
     pick = lambda *keys: next((html.person(o[k]) if k == "author" else html.flat(str(o[k])) for k in keys for o in ld if o.get(k)), "")
@@ -152,24 +157,35 @@ def extract(url: str, page: str | None, source_id: str = "") -> dict:
     raw = {"jsonld": ld} | ({"adapter_error": error} if error else {})
     return {
         "url": url, "canonical_url": canon, "title": title, "is_article": article, "author": pick("author") or html.meta(root, "author"), "category": pick("articleSection") or html.meta(root, "article:section") or html.crumbs(root),
-        "summary": html.meta(root, "description", "og:description"), "published_at": published, "updated_at": updated, "body_html": html.serialise(clean) if article else "", "body_text": body if article else "",
-        "body_markdown": html.markdown(clean, url) if article else "", "extraction_method": method, "content_hash": hashlib.sha256(body.encode("utf-8", "replace")).hexdigest() if article else "", "links": links, "link_dates": hints,
+        "summary": html.meta(root, "description", "og:description"), "published_at": published, "updated_at": updated, "body_html": html.serialise(clean) if article and "body_html" in fields_wanted else "", "body_text": body if article else "",
+        "body_markdown": html.markdown(clean, url) if article and "body_markdown" in fields_wanted else "", "extraction_method": method, "content_hash": hashlib.sha256(body.encode("utf-8", "replace")).hexdigest() if article else "", "links": links, "link_dates": hints,
         "images": pics, "raw_json": text.canonical_json(raw),
     }
 
 
-def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", source_col: str | None = None) -> DataFrame:
-    """PAGE_SCHEMA for every page, whatever its size; null ones yield no article. Reads only the columns it needs."""
+def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", source_col: str | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """PAGE_SCHEMA, or those of its fields that are named, for every page, whatever its size; null ones yield no article.
+
+    Reads only the columns it needs, and works out only what is asked for."""
     from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    schema = StructType.fromDDL(PAGE_SCHEMA)
+    schema = schema if fields is None else StructType([schema[f] for f in fields])
+    shape, wanted = to_arrow_schema(schema), frozenset(schema.names)
     src = F.col(source_col) if source_col else F.lit("")
     rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"), src.alias("source"))
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([extract(u or "", h, s or "") for u, h, s in zip(pdf["url"], pdf["html"], pdf["source"])])
-
-    return rows.mapInPandas(run, PAGE_SCHEMA)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [extract(u or "", h, s or "", wanted) for u, h, s in zip(*(c.to_pylist() for c in part.columns))]
+                columns = ([list(x[f.name].items()) if f.name == "link_dates" else x[f.name] for x in found] for f in shape)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def retext(articles: DataFrame) -> DataFrame:

@@ -156,23 +156,24 @@ _BODY = rf"""WITH x AS (SELECT page_id, url, html, regexp_replace(regexp_extract
 
 @query("page_extract", "raw_pages", sql=f"SELECT url, '' AS canonical_url, title, length(body) > 180 AS is_article, '' AS published_at, CASE WHEN length(body) > 180 THEN sha256(body) ELSE '' END AS content_hash, CAST(len(targets) AS INTEGER) AS links FROM ({_BODY} SELECT * FROM b) y")
 def page_extract(pages):
-    return extract.extract_pages(pages).select("url", "canonical_url", "title", "is_article", "published_at", "content_hash", F.size("links").alias("links"))
+    fields = ("url", "canonical_url", "title", "is_article", "published_at", "content_hash")
+    return extract.extract_pages(pages, fields=(*fields, "links")).select(*fields, F.size("links").alias("links"))
 
 
 @query("page_markdown", "raw_pages", sql=f"SELECT url, CASE WHEN length(body) > 180 THEN array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(art, '<b>((?:[^<]|<br>)*?)(?:<br>| )*(</p>|$)', '**\\1**\\2', 'g'), '</?p>'), lambda t: regexp_replace(trim(regexp_replace(regexp_replace(list_transform([t], lambda t: {_UNESCAPE})[1], '<b> ?([^<]*?) ?</b>', '**\\1**', 'g'), '</?b>|( ?<br> ?)+$|^( ?<br> ?)+', '', 'g')), ' ?<br> ?', '  ' || chr(10), 'g')), lambda t: t <> ''), chr(10) || chr(10)) ELSE '' END AS body_markdown, CASE WHEN length(body) > 180 THEN body ELSE '' END AS body_text FROM ({_BODY} SELECT * FROM b) y")
 def page_markdown(pages):
-    return extract.extract_pages(pages).select("url", "body_markdown", "body_text")
+    return extract.extract_pages(pages, fields=("url", "body_markdown", "body_text"))
 
 
 @query("link_graph", "raw_pages", sql=f"SELECT DISTINCT url AS source_url, unnest(targets) AS target_url FROM ({_BODY} SELECT * FROM b) y")
 def link_graph(pages):
-    return extract.extract_pages(pages).select(F.col("url").alias("source_url"), F.explode("links").alias("target_url")).distinct()
+    return extract.extract_pages(pages, fields=("url", "links")).select(F.col("url").alias("source_url"), F.explode("links").alias("target_url")).distinct()
 
 
 @query("retext", "raw_pages", sql=f"SELECT url, body AS body_text FROM ({_BODY} SELECT * FROM b) y WHERE length(body) > 180 AND length(url) % 3 = 0")
 def retext(pages):
     """Articles whose stored text is out of date: here, every third one's."""
-    a = extract.extract_pages(pages).where("is_article").select("url", "body_html", F.when(F.length("url") % 3 == 0, "old").otherwise(F.col("body_text")).alias("body_text"))
+    a = extract.extract_pages(pages, fields=("url", "is_article", "body_html", "body_text")).where("is_article").select("url", "body_html", F.when(F.length("url") % 3 == 0, "old").otherwise(F.col("body_text")).alias("body_text"))
     return extract.retext(a)
 
 
