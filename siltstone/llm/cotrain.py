@@ -296,7 +296,7 @@ class Counts:
         return np.column_stack([a, b[:, : len(STYLE)].sum(1), b[:, len(STYLE) :].sum(1)])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = 3, sure: float = 0.98, pool_weight: float = 0.3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rounds: int = 3, sure: float = 0.995, pool_weight: float = 0.1) -> Model:
     """Fits on all labelled documents and, from the second round on, on all others that a view is sure of.
 
     Every round is a pass of the executors over the features of all documents; counts of feature ids come back (of fixed size), and the
