@@ -10,8 +10,7 @@ which shard a record belongs to.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -23,24 +22,20 @@ MOST_RANGES = 8192
 GROUP_PART = 128
 
 
-def _range_udf(bounds: list[tuple[int, int]]):
-    """Range number of (k, d): how many boundaries are at or below it."""
-    bk = np.array([b[0] for b in bounds], "int64")
-    bd = np.array([b[1] for b in bounds], "int64")
+def _range_of(bounds: list[tuple[int, int]]) -> Column:
+    """Range number of (__k, __d): how many boundaries are at or below it, by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    longs = lambda values: F.expr(f"array({','.join(f'{v}L' if v > -(1 << 63) else 'bigint(-9223372036854775808)' for v in values)})")
+    k, d = longs(b[0] for b in bounds), longs(b[1] for b in bounds)
 
-    @F.pandas_udf("int")
-    def number(k: pd.Series, d: pd.Series) -> pd.Series:
-        k, d = k.to_numpy("int64"), d.to_numpy("int64")
-        left, right = np.searchsorted(bk, k, "left"), np.searchsorted(bk, k, "right")
-        out = left.copy()
-        tied = np.flatnonzero(left < right)
-        for lo in np.unique(left[tied]):
-            rows = tied[left[tied] == lo]
-            hi = right[rows[0]]
-            out[rows] = lo + np.searchsorted(bd[lo:hi], d[rows], "right")
-        return pd.Series(out.astype("int32"))
+    def step(have: Column, width: Column) -> Column:
+        at = have + width
+        bk, bd = F.get(k, at - 1), F.get(d, at - 1)
+        return F.when((at <= len(bounds)) & ((bk < F.col("__k")) | ((bk == F.col("__k")) & (bd <= F.col("__d")))), at).otherwise(have)
 
-    return number(F.col("__k"), F.col("__d"))
+    widths = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(widths, F.lit(0), step)
 
 
 def _draw(narrow: DataFrame, total: int, m: int, seed: int) -> list[tuple[int, int, float]]:
@@ -90,11 +85,11 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     parts = ranges or int(min(MOST_RANGES, max(16 * n_shards, total // RANGE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     bounds = _quantiles(_draw(narrow, total, parts * SAMPLES_PER_RANGE, 1), parts)
     for turn in range(rounds + 1):
-        sizes = {r["r"]: (r["b"], r["n"]) for r in narrow.groupBy(_range_udf(bounds).alias("r")).agg(F.sum("__size").alias("b"), F.count("*").alias("n")).collect()}
+        sizes = {r["r"]: (r["b"], r["n"]) for r in narrow.groupBy(_range_of(bounds).alias("r")).agg(F.sum("__size").alias("b"), F.count("*").alias("n")).collect()}
         full = [r for r, (b, n) in sizes.items() if b > overfull * total / parts and n > 1]
         if not full or turn == rounds or len(bounds) >= MOST_RANGES:
             break
-        inside = narrow.withColumn("r", _range_udf(bounds)).where(F.col("r").isin(full))
+        inside = narrow.withColumn("r", _range_of(bounds)).where(F.col("r").isin(full))
         over = sum(sizes[r][0] for r in full)
         extra = 2 * sum(-(-sizes[r][0] * parts // total) for r in full)
         more = _quantiles(_draw(inside, over, extra * SAMPLES_PER_RANGE, 2 + turn), extra)
@@ -111,7 +106,7 @@ def shard(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: st
     def placed(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("__r").orderBy("__k", "__d", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("__r") + 1).cast("long")
-        rows = rows.withColumn("__r", _range_udf(bounds)).withColumns({"__before": F.sum("__size").over(order) - F.col("__size"), "__row": F.count("*").over(order) - 1})
+        rows = rows.withColumn("__r", _range_of(bounds)).withColumns({"__before": F.sum("__size").over(order) - F.col("__size"), "__row": F.count("*").over(order) - 1})
         return rows.withColumns({shard_col: F.least(F.lit(n_shards - 1), F.call_function("div", (F.col("__before") + at(byte_base)) * n_shards, F.lit(total)).cast("int")), "__row": F.col("__row") + at(row_base)})
 
     ends = {r[0]: (r[1], r[2]) for r in placed(narrow).groupBy(shard_col).agg(F.min(F.struct("__row", "__k")), F.max(F.struct("__row", "__k"))).collect()}
