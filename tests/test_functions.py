@@ -63,6 +63,15 @@ def test_date_columns(spark):
     assert got == [(False, "2026-07-02"), (False, ""), (True, "2026-06-30"), (False, ""), (False, None)]
 
 
+@pytest.mark.parametrize(
+    "path, want",
+    [("page/2046/2026/0504/c1a2/page.htm", "2026-05-04"), ("2026/0504", "2026-05-04"), ("2026/0230/2025/0101/", "2025-01-01"), ("2046/2026/x", ""), ("2026/0230/2025-01-01.htm", ""), ("a/2026_02_03.htm", "2026-02-03"), ("a?2026-02-03", ""), (None, "")],
+)
+def test_date_in_url(spark, path, want):
+    url = F.concat(F.lit("https://e.org/"), F.lit(path).cast("string"))
+    assert spark.range(1).select(U.date_in_url(url).alias("d")).first()["d"] == want
+
+
 def test_score_gates(spark):
     now = F.lit(NOW).cast("timestamp")
     s = lambda **k: classify.score_page(page_url=F.lit("https://e.org/news/1.htm"), now=now, **k)
