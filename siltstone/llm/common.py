@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,23 @@ def freed(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Actions in this block hand at most so many rows at once to Python.
+
+    The JVM holds a batch outside its heap, more than once while its buffers grow by doubling, for each task: with
+    whole texts, 10,000 rows are hundreds of MB beside a full heap."""
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(usual)) if int(usual) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, usual)
+
+
 #: Keys that join_on_digest broadcasts, at most.
 MOST_HOT = 2000
 

@@ -7,9 +7,12 @@ among its grams, so two equal windows pick the same gram at the same place:
    that pick it (under 2 * length bytes): gram hash, segment hash, place.
 2. Grams of one document only are dropped. Where a later document has the same
    segment as an earlier one, all its windows go. What remains to compare are
-   the first copies of different segments under one gram.
-3. Those segments, hash-partitioned by gram, are concatenated in runs of whole
-   grams and their suffixes sorted in two stages: only suffixes smaller than
+   the first copies of different segments under one gram; a gram's only segment
+   has nothing to compare with.
+3. Those segments, hash-partitioned by gram and in order of their bytes, are
+   read as a stream: equal ones are settled at once, so that an array holds
+   each only once, however many documents have it. The different ones are
+   concatenated in runs of whole grams and their suffixes sorted in two stages: only suffixes smaller than
    their successors are sorted directly, the others are induced from them by
    scanning the buckets of first bytes in order. Neighbours with a common
    prefix of `length` are equal windows; all but those of the first document go.
@@ -29,15 +32,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import Scratch, freed
+from .common import Scratch, freed, small_batches
 
 GRAM = 16
-#: Bytes that one suffix array holds, unless one gram has more.
-RUN_BYTES = 3 << 20
+#: Bytes of segments at which a suffix array is built of the whole grams so far.
+RUN_BYTES = 2 << 20
+#: Rows that a task hands on at once.
+ROWS = 10_000
 #: Segments of one gram beyond which its windows are dealt singly.
 MANY = 20_000
 #: One document in SAMPLE is asked for grams that take one in COMMON of all postings, which are COMMON grams at most.
@@ -53,24 +59,15 @@ _U = np.uint64
 
 
 def _keys8(t: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on as a number that orders like them; t ends in 8 bytes of padding or more."""
-    n = len(t) - 7
-    k = np.zeros(n, _U)
-    for j in range(8):
-        k = (k << _U(8)) | t[j : j + n]
-    return k
+    """The 8 bytes from each place on as a number that orders like them, as a view; t ends in 8 bytes of padding or more."""
+    return np.ndarray(len(t) - 7, ">u8", np.ascontiguousarray(t), strides=(1,))
 
 
 def rises(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last is not."""
-    n = len(t)
     change = np.flatnonzero(t[1:] != t[:-1])
-    at = np.searchsorted(change, np.arange(n))
-    out = np.zeros(n, bool)
-    has = at < len(change)
-    k = change[at[has]]
-    out[has] = t[k] < t[k + 1]
-    return out
+    up = np.append(t[change] < t[change + 1], False)
+    return np.repeat(up, np.diff(np.concatenate([[-1], change, [len(t) - 1]])))
 
 
 def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -80,23 +77,23 @@ def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     directly the rising suffixes that are wanted or that a wanted one needs,
     and induces the falling ones."""
     up = rises(t)
-    ups = np.flatnonzero(up)
+    if not wanted.any():
+        return np.zeros(0, "int32")
     # A falling suffix is induced from its successor, so the chain up to the next rising one is needed.
-    w = np.flatnonzero(wanted)
-    if not len(w):
-        return w
-    stop = ups[np.searchsorted(ups, w)]
-    mark = np.zeros(len(t) + 1, "int32")
-    np.add.at(mark, w, 1)
-    np.subtract.at(mark, stop + 1, 1)
-    need = np.cumsum(mark[:-1]) > 0
+    at = np.arange(len(t), dtype="int32")
+    rose = np.maximum.accumulate(np.where(up, at, np.int32(-1)))
+    need = np.maximum.accumulate(np.where(wanted, at, np.int32(-1)))
+    need[1:] = need[1:] > rose[:-1]
+    need[0] = wanted[0]
+    need = need.astype(bool)
+    del at, rose
     key = _keys8(t)
-    b = np.flatnonzero(need & up)
-    order = np.argsort(key[b], kind="stable")
-    b = b[order]
-    group = np.zeros(len(b), "int64")
-    k = key[b]
-    group[1:] = np.cumsum(k[1:] != k[:-1])
+    b = np.flatnonzero(need & up).astype("int32")
+    k = key[b].astype(_U)
+    order = np.argsort(k, kind="stable")
+    b, k = b[order], k[order]
+    group = np.zeros(len(b), "int32")
+    group[1:] = np.cumsum(k[1:] != k[:-1], dtype="int32")
     at = 8
     while at < depth:
         same = np.zeros(len(b), bool)
@@ -106,14 +103,14 @@ def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
         rows = np.flatnonzero(same)
         if not len(rows):
             break
-        g, k = group[rows], key[b[rows] + at]
+        g, k = group[rows], key[b[rows] + at].astype(_U)
         order = np.lexsort((k, g))
         b[rows] = b[rows[order]]
         k = k[order]
         new = np.ones(len(b), bool)
         new[1:] = group[1:] != group[:-1]
         new[rows[1:]] |= (g[1:] != g[:-1]) | (k[1:] != k[:-1])
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype="int32")
         at += 8
     # Buckets by first byte: falling suffixes come before rising ones, and are appended in the order in which their successors are met.
     falling: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -149,34 +146,34 @@ def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefix_reaches(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
     """For each suffix of sa but the first, whether it shares `length` bytes with the one before."""
-    key = _keys8(t)
+    key = _keys8(t).view("<u8")
     eq = np.ones(max(len(sa) - 1, 0), bool)
     for at in [*range(0, length - 8, 8), length - 8]:
         eq &= key[sa[1:] + at] == key[sa[:-1] + at]
     return eq
 
 
-def earliest(segments: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, the smallest owner of a segment that holds the window at each of its places."""
+def earliest(segments: list[bytes], owners: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment, the smallest owner of a segment that holds it; the first window of each segment and one more."""
     if not segments:
-        return []
+        return np.zeros(0, "int64"), np.zeros(1, "int64")
     # 0xFF is no byte of UTF-8, so no window of two segments' bytes equals one of a segment.
     t = np.frombuffer(b"\xff".join(segments) + b"\xff\x00\x01" + b"\x00" * (length + 32), "uint8")
     size = np.array([len(s) for s in segments])
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     windows = size - length + 1
-    row = np.repeat(np.arange(len(segments)), windows)
     base = np.concatenate([[0], np.cumsum(windows)])
-    place = np.arange(base[-1]) - base[row] + start[row]
+    place = np.arange(base[-1], dtype="int32") + np.repeat((start - base[:-1]).astype("int32"), windows)
     wanted = np.zeros(len(t), bool)
     wanted[place] = True
     sa = two_stage(t, wanted, length)
-    owner_at = np.zeros(len(t), "int64")
-    owner_at[place] = owners[row]
+    ids, rank = np.unique(owners, return_inverse=True)
+    owner_at = np.zeros(len(t), "int32")
+    owner_at[place] = np.repeat(rank.astype("int32"), windows)
     heads = np.flatnonzero(np.concatenate([[True], ~common_prefix_reaches(t, sa, length)]))
     low = np.minimum.reduceat(owner_at[sa], heads)
     owner_at[sa] = np.repeat(low, np.diff(np.append(heads, len(sa))))
-    return np.split(owner_at[place], base[1:-1])
+    return ids[owner_at[place]], base
 
 
 # ---------------------------------------------------------------- postings
@@ -272,6 +269,8 @@ NAMES = ["h", "doc", "place", "later", "hot"]
 def _shared():
     """Rows sorted by (h, seg, doc) -> (h, doc, place, later, hot) of grams that two documents have; later: an earlier document has the same segment.
 
+    What isn't later is asked for; the first copy of a gram's only segment is left out.
+
     Rows of a gram wait only while they are of one document. Those of common grams, marked in place, are known to be shared."""
 
     def run(batches):
@@ -301,6 +300,11 @@ def _shared():
                 at = head[-1]
                 held = (h[at:], seg[at:], doc[at:], place[at:])
             keep = np.repeat(both, size)
+            # A gram that begins and ends in these rows and has one segment only asks for no text.
+            only = (seg[head] == seg[head + size - 1]) & ~np.logical_or.reduceat((place & HOT) != 0, head)
+            only[-1] = False
+            if last[0] is not None and h[0] == last[0]:
+                only[0] = False
             sub = np.concatenate([[True], (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])])
             starts = np.flatnonzero(sub)
             rep = doc[starts].copy()
@@ -309,72 +313,120 @@ def _shared():
             rep_row = np.repeat(rep, np.diff(np.append(starts, len(h))))
             last = (h[-1], seg[-1], rep[-1]) if both[-1] else (None, None, None)
             later = doc > rep_row
+            keep &= later | ~np.repeat(only, size)
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep]), pa.array(place[keep] & ~HOT), pa.array(later[keep]), pa.array((place[keep] & HOT) != 0)], names=NAMES)
 
     return run
 
 
+def _rows(b: pa.RecordBatch):
+    """(bytes of the text, numbers of each field of the list) of each row of (id, text, list of structs or numbers)."""
+    text = b.column(1).cast(pa.large_string()).cast(pa.large_binary())
+    size = b.column(2).value_lengths().fill_null(0).to_numpy()
+    flat = b.column(2).flatten()
+    fields = [c.to_numpy(zero_copy_only=False) for c in (flat.flatten() if pa.types.is_struct(flat.type) else [flat])]
+    end = np.cumsum(size)
+    for i, (lo, hi) in enumerate(zip((end - size).tolist(), end.tolist())):
+        yield text[i].as_py() or b"", [c[lo:hi] for c in fields]
+
+
 def _segments(length: int):
-    """text, asks (h, place, hot) -> key, doc, place, bytes"""
+    """id, text, asks (h, place, hot) -> key, doc, place, bytes"""
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["key", "doc", "place", "piece"])
 
     def run(batches):
+        out = ([], [], [], [])
         for b in batches:
-            out = ([], [], [], [])
-            for doc, text, asks in zip(*(c.to_pylist() for c in b.columns)):
-                raw = (text or "").encode()
+            for doc, (raw, (gram, place, hot)) in zip(b.column(0).to_pylist(), _rows(b)):
                 mark = zlib.crc32(raw) & 0xFFFFFF
-                for a in asks:
-                    p = a["place"]
-                    s, c, m = p >> 30, (p >> 24) & 63, p & 0xFFFFFF
-                    if m != mark:
-                        continue
-                    parts = [(a["h"], p, raw[s : s + c + length - 1])]
-                    if a["hot"]:
-                        parts = [(int.from_bytes(hashlib.blake2b(raw[s + k : s + k + length], digest_size=8).digest(), "little", signed=True), _pack(s + k, 1, m), raw[s + k : s + k + length]) for k in range(c)]
-                    for key, place, piece in parts:
-                        for column, v in zip(out, (key, doc, place, piece)):
+                start, count, of = _unpack(place)
+                for h, p, s, c, dealt in zip(*(x[of == mark].tolist() for x in (gram, place, start, count, hot))):
+                    parts = [(h, p, raw[s : s + c + length - 1])]
+                    if dealt:
+                        parts = [(int.from_bytes(hashlib.blake2b(raw[s + k : s + k + length], digest_size=8).digest(), "little", signed=True), _pack(s + k, 1, mark), raw[s + k : s + k + length]) for k in range(c)]
+                    for key, at, piece in parts:
+                        for column, v in zip(out, (key, doc, at, piece)):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["key", "doc", "place", "piece"])
+                    if len(out[0]) >= ROWS:
+                        yield batch(out)
+                        out = ([], [], [], [])
+        yield batch(out)
 
     return run
 
 
 def _compare(length: int):
-    """Rows (key, doc, place, piece) sorted by key -> (doc, place) of runs of windows that an earlier document has."""
-
-    def solve(parts):
-        t = pa.Table.from_batches(parts)
-        doc, place = t.column(1).to_numpy(), t.column(2).to_numpy()
-        low = earliest(t.column(3).to_pylist(), doc, length)
-        size = np.array([len(x) for x in low])
-        row = np.repeat(np.arange(len(low)), size)
-        at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
-        gone = np.concatenate(low) < doc[row]
-        edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (row[1:] != row[:-1])]))
-        stop = np.flatnonzero(gone & np.concatenate([~gone[1:] | (row[1:] != row[:-1]), [True]]))
-        s, _, m = _unpack(place[row[edge]])
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[edge]]), pa.array(_pack(s + at[edge], stop - edge + 1, m))], names=["doc", "place"])
+    """Rows (key, doc, place, piece) sorted by (key, piece, doc) -> (doc, place) of runs of windows that an earlier document has.
+
+    Of equal pieces under a key, those of later documents go whole and at once. The first document's are compared
+    with the key's other pieces, as one piece. A key of one piece has nothing more to compare."""
+
+    def batch(doc, place):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place)], names=["doc", "place"])
+
+    def solve(held):
+        key, doc, place, fresh = (np.concatenate([h[k] for h in held]) for k in range(4))
+        gram = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        use = np.bincount(gram, fresh)[gram] > 1
+        pieces = pa.chunked_array([h[4] for h in held]).filter(pa.array(use[fresh])).to_pylist()
+        doc, place, fresh = doc[use], place[use], fresh[use]
+        low, base = earliest(pieces, doc[fresh], length)
+        row = np.repeat(np.arange(len(pieces), dtype="int32"), np.diff(base))
+        gone = low < doc[fresh][row]
+        if not gone.any():
+            return
+        other = row[1:] != row[:-1]
+        edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | other]))
+        stop = np.flatnonzero(gone & np.concatenate([~gone[1:] | other, [True]]))
+        # Every row of a piece has the piece's runs.
+        of = np.cumsum(fresh) - 1
+        runs = np.bincount(row[edge], minlength=len(pieces))
+        n = runs[of]
+        r = np.repeat(np.arange(len(of)), n)
+        k = np.arange(len(r)) + np.repeat((np.cumsum(runs) - runs)[of] - (np.cumsum(n) - n), n)
+        s, _, m = _unpack(place[r])
+        yield batch(doc[r], _pack(s + edge[k] - base[row[edge[k]]], stop[k] - edge[k] + 1, m))
 
     def run(batches):
-        held, size = [], 0
+        held, size, last = [], 0, None  # rows that wait; bytes of their pieces; the last row's key, piece and the first document that has it
         for b in batches:
-            while b.num_rows:
-                key = b.column(0).to_numpy()
-                if held and size >= RUN_BYTES:
-                    # Enough for one array: it ends with the gram that it has reached.
-                    goes_on = int(np.searchsorted(key, held[-1].column(0)[-1].as_py(), "right"))
-                    if goes_on:
-                        held.append(b.slice(0, goes_on))
-                        b = b.slice(goes_on)
-                    if b.num_rows:
-                        yield solve(held)
-                        held, size = [], 0
-                    continue
-                held.append(b)
-                size += b.column(3).nbytes
-                break
+            if not b.num_rows:
+                continue
+            key, doc, place = (b.column(k).to_numpy() for k in range(3))
+            piece = b.column(3)
+            head = np.ones(len(key), bool)
+            head[1:] = (key[1:] != key[:-1]) | ~pc.equal(piece[1:], piece[:-1]).to_numpy(zero_copy_only=False)
+            fresh = head.copy()
+            first = doc[head]
+            if last is not None and last[0] == key[0] and last[1] == piece[0].as_py():
+                fresh[0], first[0] = False, last[2]
+            rep = np.repeat(first, np.diff(np.append(np.flatnonzero(head), len(key))))
+            last = (key[-1], piece[-1].as_py(), rep[-1])
+            gone = doc > rep
+            if gone.any():
+                yield batch(doc[gone], place[gone])
+            stays = ~gone
+            if not stays.any():
+                continue
+            held.append((key[stays], doc[stays], place[stays], fresh[stays], piece.filter(pa.array(fresh))))
+            size += held[-1][4].nbytes
+            if size < RUN_BYTES:
+                continue
+            # Enough for one array: of all grams but the last, which may go on.
+            k, d, p, f, x = held.pop()
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut:
+                n = int(f[:cut].sum())
+                held.append((k[:cut], d[:cut], p[:cut], f[:cut], x[:n]))
+                yield from solve(held)
+                held = []
+                k, d, p, f, x = k[cut:], d[cut:], p[cut:], f[cut:], x[n:]
+            held.append((k, d, p, f, x))
+            size = sum(h[4].nbytes for h in held)
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     return run
 
@@ -385,9 +437,8 @@ def _cut(length: int):
     def run(batches):
         for b in batches:
             out = ([], [], [], [])
-            for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = (text or "").encode()
-                spans = removed_spans(raw, places or (), length)
+            for raw, (places,) in _rows(b):
+                spans = removed_spans(raw, places, length)
                 rest, at = hashlib.sha256(), 0
                 for lo, hi in spans:
                     rest.update(raw[at:lo])
@@ -405,7 +456,7 @@ def removed_spans(raw: bytes, places, length: int) -> list[tuple[int, int]]:
     if not len(places):
         return []
     mark = zlib.crc32(raw) & 0xFFFFFF
-    s, c, m = _unpack(np.array(places, "int64"))
+    s, c, m = _unpack(np.asarray(places, "int64"))
     s, e = s[m == mark], (s + c + length - 1)[m == mark]
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
@@ -429,9 +480,12 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
 
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = docs.where("id IS NOT NULL AND text IS NOT NULL")
-    posts = known.mapInArrow(_post(length, _common(known, length)), "h long, seg long, doc long, place long")
+    with small_batches(spark):
+        hot = _common(known, length)
+    posts = known.mapInArrow(_post(length, hot), "h long, seg long, doc long, place long")
     shared = posts.repartition("h").sortWithinPartitions("h", "seg", "doc").mapInArrow(_shared(), "h long, doc long, place long, later boolean, hot boolean")
-    shared = tmp.table(shared, "shared")
+    with small_batches(spark):
+        shared = tmp.table(shared, "shared")
     freed(spark)
     asked = shared.where("NOT later")
     # Common grams that the sample didn't show: many first copies of different segments.
@@ -440,7 +494,8 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         asked = asked.join(many, "h", "left").withColumn("hot", F.col("hot") | F.coalesce("many", F.lit(False)))
     asks = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "hot")).alias("asks"))
     pieces = known.join(asks, known["id"] == asks["doc"]).select("doc", "text", "asks").mapInArrow(_segments(length), "key long, doc long, place long, piece binary")
-    found = tmp.table(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), "doc long, place long"), "found")
+    with small_batches(spark):
+        found = tmp.table(pieces.repartition("key").sortWithinPartitions("key", "piece", "doc").mapInArrow(_compare(length), "doc long, place long"), "found")
     freed(spark)
     places = shared.where("later").select("doc", "place").unionByName(found).groupBy("doc").agg(F.collect_list("place").alias("places"))
     joined = docs.join(places, docs["id"] == places["doc"], "left").select("id", "text", "places")

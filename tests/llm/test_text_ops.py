@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -288,6 +289,64 @@ def test_two_stage_sort():
         assert keys == sorted(keys)
 
 
+def pieces_by_key(rows, size):
+    """Batches of the rows (key, doc, place, piece) in the order in which they are compared."""
+    rows = sorted(rows, key=lambda r: (r[0], r[3], r[1]))
+    for i in range(0, len(rows), size):
+        columns = list(zip(*rows[i : i + size]))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["key", "doc", "place", "piece"])
+
+
+@pytest.mark.parametrize("size, most", [(1, 1 << 20), (7, 300), (1000, 1 << 20)])
+def test_suffix_pieces_against_brute_force(monkeypatch, size, most):
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", most)
+    rng, rows = np.random.default_rng(5), []
+    for i in range(400):  # equal windows have equal keys, so each key has letters of its own
+        key = int(rng.integers(8))
+        n = int(rng.integers(24, 34))
+        piece = bytes((65 + 2 * key + (rng.random(n) < 0.04)).astype("uint8"))
+        rows.append((key, int(rng.integers(12)), int(suffix_dedup._pack(100 * i, n - 23, 9)), piece))
+    first = {}
+    for key, doc, _, piece in rows:
+        for k in range(len(piece) - 23):
+            first[piece[k : k + 24]] = min(doc, first.get(piece[k : k + 24], doc))
+    want = {(doc, (place >> 30) + k) for _, doc, place, piece in rows for k in range(len(piece) - 23) if first[piece[k : k + 24]] < doc}
+    got = []
+    for b in suffix_dedup._compare(24)(pieces_by_key(rows, size)):
+        for doc, place in zip(*(c.to_pylist() for c in b.columns)):
+            got += [(doc, (place >> 30) + k) for k in range((place >> 24) & 63)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_suffix_memory_is_bounded(monkeypatch):
+    """However many documents have one window, and however many pieces are asked for, a task holds few of them."""
+    held, real = [], suffix_dedup.earliest
+
+    def seen(segments, owners, length):
+        held.append(sum(map(len, segments)))
+        return real(segments, owners, length)
+
+    monkeypatch.setattr(suffix_dedup, "earliest", seen)
+    rows = [(1, i, int(suffix_dedup._pack(0, 1, 9)), b"w" * 50) for i in range(120_000)]
+    rows += [(2, i, int(suffix_dedup._pack(0, 1, 9)), bytes([97 + i] * 50)) for i in range(9)]
+    assert sum(b.num_rows for b in suffix_dedup._compare(50)(pieces_by_key(rows, 10_000))) == 119_999
+    assert sum(held) < 1000
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 1000)))
+    asks = [{"h": k, "place": int(suffix_dedup._pack(k, 30, zlib.crc32(text.encode()) & 0xFFFFFF)), "hot": k % 2 == 0} for k in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([text] * 100), pa.array([asks] * 100, pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int64()), ("hot", pa.bool_())])))], names=["doc", "text", "asks"])
+    sizes = [b.num_rows for b in suffix_dedup._segments(50)([batch])]
+    assert sum(sizes) == 100 * (450 + 450 * 30) and max(sizes) < 11_000
+
+
+def test_suffix_texts_go_to_python_in_small_batches(docs, spark, monkeypatch):
+    name, seen, real = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, suffix_dedup.Scratch.table
+    monkeypatch.setattr(suffix_dedup.Scratch, "table", lambda self, df, label: seen.update({label: int(spark.conf.get(name))}) or real(self, df, label))
+    usual = spark.conf.get(name)
+    suffix_dedup.remove_repeats(docs(repeat_rows()))
+    assert max(seen["shared"], seen["found"]) <= 1000 and spark.conf.get(name) == usual
+
+
 def test_suffix_hard_rows(docs):
     out = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.remove_repeats(docs(HARD)).collect()}
     assert out[(8, 300_000)] == 0 and out[(1, 0)] == 0 and suffix_dedup.remove_repeats(docs(HARD)).count() == len(HARD)
