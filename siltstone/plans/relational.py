@@ -358,7 +358,8 @@ def coalesce_latest(o):
 
 @query("interleave_hosts", "raw_pages", sql="SELECT page_id, CAST(page_id % 3 AS BIGINT) AS priority, CAST(row_number() OVER (PARTITION BY page_id % 3, regexp_extract(url, '^https?://([^/?#:]+)', 1) ORDER BY url) - 1 AS INT) AS place FROM pages")
 def interleave_hosts(pages):
-    return dedup.interleave(pages.withColumn("priority", F.col("page_id") % 3)).select("page_id", "priority", "place")
+    """Pages of one URL, whose order the SQL leaves open, go by id, so that every run gives the same places."""
+    return dedup.interleave(pages.withColumn("priority", F.col("page_id") % 3), order=F.struct("url", "page_id")).select("page_id", "priority", "place")
 
 
 @query("trim_excess", "article_media", sql="SELECT doc_id, image_url FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY created_at, image_url) AS n FROM article_media) x WHERE n > 3")
