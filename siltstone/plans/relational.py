@@ -210,7 +210,8 @@ def date_windows(articles):
 
 @query("shell_suffix", "articles", sql="SELECT url FROM articles WHERE regexp_matches(coalesce(title, ''), '(ing|er)[.,]?$') OR contains(right(body_text, 1000), 'All rights reserved')")
 def shell_suffix(articles):
-    return articles.where(F.coalesce("title", F.lit("")).rlike("(ing|er)[.,]?$") | F.right("body_text", F.lit(1000)).contains("All rights reserved")).select("url")
+    r"""\z is the end of the text alone, as $ is in the SQL; Java's $ also comes before a last line end."""
+    return articles.where(F.coalesce("title", F.lit("")).rlike(r"(ing|er)[.,]?\z") | F.right("body_text", F.lit(1000)).contains("All rights reserved")).select("url")
 
 
 @query("repair_needed", "articles", "pages", sql="SELECT p.url FROM pages p WHERE p.page_kind IN ('news_article', 'article') AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.url IN (p.url, p.final_url, p.canonical_url, p.duplicate_of))")

@@ -1,5 +1,8 @@
 """Queries over small tables with rows that the test tables lack."""
 
+import duckdb
+from pyspark.sql import functions as F
+
 from siltstone.plans import catalog
 
 
@@ -9,3 +12,14 @@ def test_pages_of_one_url_go_by_id(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.queries()["interleave_hosts"](spark, str(tmp_path)).collect()
     assert {r["page_id"]: r["place"] for r in got} == {11: 0, 2: 1, 5: 2, 8: 3, 1: 0, 4: 1}
+
+
+def test_line_end_after_the_suffix(spark, tmp_path):
+    """A title of 40 characters that ends in a line end doesn't end in its last word."""
+    ends = ["ing", "ing\n", "er.\n", "er.", "er\r\n", "er,\r", "ing\u0085", "ing\u2028", "ing\u2029", "ing\n\n", "ing ", "or"]
+    rows = [(k, "x" * (40 - len(end)) + end + " and more", "src1") for k, end in enumerate(ends * 2, 1)] + [(99, None, "src1"), (100, "", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.lit(9)}).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.oracle_sql()["shell_suffix"]).fetchall())
+    assert want and sorted(map(tuple, catalog.queries()["shell_suffix"](spark, str(tmp_path)).collect())) == want
