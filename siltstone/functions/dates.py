@@ -15,6 +15,8 @@ SEPARATED = r"(?<![0-9])(20[0-9]{2})[年./-]([0-9]{1,2})[月./-]([0-9]{1,2})日?
 COMPACT = r"(?<![0-9])(20[0-9]{2})([0-9]{2})([0-9]{2})(?:[ T]([0-9]{2})([0-9]{2})([0-9]{2}))?(?![0-9])"
 PUBLISH_LABELS = "发布时间|发布日期|发布于|发稿时间|(?<![一-鿿A-Za-z])日期"
 ANY_LABELS = PUBLISH_LABELS + r"|更新时间|(?:来源|消息来源)\s*[:：]?\s*时间"
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _PATTERNS = tuple(re.compile(p) for p in (SEPARATED, COMPACT))
 
 
@@ -39,12 +41,10 @@ def parse_date(text: pd.Series) -> pd.Series:
 
 
 def parse_date_simple(text: Column) -> Column:
-    """Dates without times by JVM functions: separated, then compact."""
+    """Dates without times by JVM functions: separated, then compact. The text occurs once for each, as it may be costly to work out."""
 
     def of(pattern: str) -> Column:
-        part = lambda i, n: F.lpad(F.regexp_extract(text, pattern, i), n, "0")
-        iso = F.concat_ws("-", part(1, 4), part(2, 2), part(3, 2))
-        return F.when(F.regexp_extract(text, pattern, 1) != "", F.when(iso.try_cast("date").isNotNull(), iso))
+        return F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, "$1-$2-$3").try_cast("date").cast("string")
 
     return F.coalesce(of(SEPARATED), of(COMPACT), F.lit(""))
 
@@ -55,10 +55,10 @@ def labelled(text: Column, labels: str = PUBLISH_LABELS) -> Column:
 
 
 def trailing(text: Column) -> Column:
-    """A full date that is the last content of a text."""
-    tail = F.right(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit(300))
-    p = r"([0-9]{4})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?\s*$"
-    return F.when(F.regexp_extract(tail, p, 1) != "", parse_date_simple(F.concat_ws("-", *(F.regexp_extract(tail, p, i) for i in (1, 2, 3))))).otherwise("")
+    """A full date that is the last content of a text. The text occurs once, without the two of F.right."""
+    tail = F.substring(F.rtrim(text, F.lit(WHITE)), -300, 300)
+    p = r"(20[0-9]{2})\s*年\s*([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?\s*$"
+    return F.coalesce(F.regexp_replace(F.regexp_extract(tail, p, 0), p, "$1-$2-$3").try_cast("date").cast("string"), F.lit(""))
 
 
 def moment(value: Column) -> Column:
